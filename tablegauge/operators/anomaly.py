@@ -13,6 +13,7 @@ from tablegauge.functions.scalars import (
     add_all, aggregate, assign, flag, half_even, lit, one_row, percent, pick, q, to_number, types_of,
 )
 from tablegauge.operators.forest import IsolationForest
+from tablegauge.sources.staging import staged
 
 FENCES = "__fences"
 FENCE_WIDTH = 1.5
@@ -38,24 +39,38 @@ def _outside(c: str, number: str) -> str:
     return f"({number} < {FENCES}.{q('low_' + c)} OR {number} > {FENCES}.{q('high_' + c)})"
 
 
-def count_outside_fences(df: DataFrame, names: Sequence[str], approximate: bool = False) -> DataFrame:
-    """Add ``iqr_outlier_count``: columns in which the row is beyond a fence."""
+def count_outside_fences(
+    df: DataFrame, names: Sequence[str], approximate: bool = False, numbers: DataFrame | None = None
+) -> DataFrame:
+    """Add ``iqr_outlier_count``: columns in which the row is beyond a fence.
+
+    The fences take several scans; where ``df`` is costly to compute, pass its
+    number columns as a staged table in ``numbers``.
+    """
     kinds = types_of(df)
     names = [c for c in names if c in kinds]
     if not names:
         return assign(df, {"iqr_outlier_count": "0"})
-    df = df.withColumn(FENCES, one_row(fence_row(df, names, approximate)))
+    fences = fence_row(df if numbers is None else numbers, names, approximate)
+    df = df.withColumn(FENCES, one_row(fences))
     hits = [flag(_outside(c, to_number(c, kinds[c]))) for c in names]
     return assign(df, {"iqr_outlier_count": add_all(hits)}, drop=(FENCES,))
 
 
 def detect_anomalies(
-    df: DataFrame, roles: Roles, row_key: Sequence[str], approximate: bool = False
+    df: DataFrame, roles: Roles, row_key: Sequence[str], approximate: bool = False,
+    numbers: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``iqr_outlier_count``, ``isolation_score`` and ``is_anomaly``."""
+    """Add ``iqr_outlier_count``, ``isolation_score`` and ``is_anomaly``.
+
+    Fences and forest are fitted on the number columns alone, which are staged
+    first (unless given), so ``df`` itself is computed twice, not ten times.
+    """
     names = [c for c in roles.numerics if c in df.columns]
-    out = count_outside_fences(df, names, approximate)
-    out = IsolationForest().fit(df, names, row_key).score(out)
+    if numbers is None:
+        numbers = staged(pick(df, list(dict.fromkeys([*row_key, *names]))))
+    out = count_outside_fences(df, names, approximate, numbers)
+    out = IsolationForest().fit(numbers, names, row_key).score(out, numbers=numbers)
     return flag_anomalies(out)
 
 

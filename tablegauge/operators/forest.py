@@ -102,12 +102,15 @@ class ForestModel:
 
         return df.withColumn(out, score(*[F.expr(e) for e in inputs])).drop("__medians")
 
-    def score(self, df: DataFrame, out: str = "isolation_score") -> DataFrame:
-        """Add the score scaled to 0..100 by the table's own extremes."""
+    def score(
+        self, df: DataFrame, out: str = "isolation_score", numbers: DataFrame | None = None
+    ) -> DataFrame:
+        """Add the score scaled to 0..100 by the table's own extremes, which
+        come from ``numbers`` (the same rows, number columns only) if given."""
         if self.trees is None:
             return assign(df, {out: "0.0D"})
         scored = self.raw(df)
-        limits = aggregate(self.raw(df), {"low": f"min({RAW})", "high": f"max({RAW})"})
+        limits = aggregate(self.raw(df if numbers is None else numbers), {"low": f"min({RAW})", "high": f"max({RAW})"})
         scored = scored.withColumn(LIMITS, one_row(limits))
         spread = f"({LIMITS}.high - {LIMITS}.low)"
         scaled = f"rint(1000.0D * ({RAW} - {LIMITS}.low) / {spread}) / 10.0D"

@@ -15,9 +15,9 @@ from tablegauge.functions.scalars import (
     strip, text, to_date, to_number, types_of, words,
 )
 
-#: Relative error of the distinct sketch, and how near a limit its estimate
-#: has to be for an exact count to be made.
-SKETCH_ERROR = 0.01
+#: Size of the distinct sketch (its error is below 1 %), and how near a limit
+#: its estimate has to be for an exact count to be made.
+SKETCH_SIZE = 14
 RECHECK_WITHIN = 0.05
 
 
@@ -30,7 +30,7 @@ def inference_row(df: DataFrame, formats: Sequence[str]) -> DataFrame:
         if is_time(kind) or isinstance(kind, T.BooleanType):
             continue
         out[f"filled_{c}"] = f"count({q(c)})"
-        out[f"distinct_{c}"] = f"approx_count_distinct({_hashable(c, kind)}, {SKETCH_ERROR})"
+        out[f"distinct_{c}"] = _distinct_sketch(c, kind)
         if is_number(kind):
             out[f"binary_{c}"] = f"coalesce(bool_and({q(c)} IN (0, 1)), TRUE)"
         elif is_text(kind):
@@ -40,9 +40,11 @@ def inference_row(df: DataFrame, formats: Sequence[str]) -> DataFrame:
     return aggregate(df, out)
 
 
-def _hashable(name: str, kind: T.DataType) -> str:
-    simple = is_number(kind) or is_text(kind)
-    return q(name) if simple else f"to_json(struct({q(name)}))"
+def _distinct_sketch(name: str, kind: T.DataType) -> str:
+    simple = is_number(kind) or is_text(kind) or is_time(kind)
+    hashed = f"xxhash64({q(name)})" if simple else f"xxhash64(to_json(struct({q(name)})))"
+    sketch = f"hll_sketch_agg(CASE WHEN {q(name)} IS NOT NULL THEN {hashed} END, {SKETCH_SIZE})"
+    return f"coalesce(hll_sketch_estimate({sketch}), 0)"
 
 
 def infer_roles(df: DataFrame, config: CleanConfig = CleanConfig()) -> Roles:
@@ -152,7 +154,7 @@ def profile(df: DataFrame, roles: Roles, exact: bool = True) -> DataFrame:
     for c in names:
         out[f"nulls_{c}"] = f"count_if({missing(c, kinds[c])})"
         if not exact:
-            out[f"distinct_{c}"] = f"approx_count_distinct({text(q(c))}, {SKETCH_ERROR})"
+            out[f"distinct_{c}"] = _distinct_sketch(c, kinds[c])
             out[f"sample_{c}"] = f"transform(approx_top_k({text(q(c))}, 4), x -> x.item)"
     for c in numeric:
         number = to_number(c, kinds[c])
