@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions.quantiles import quantile_row
-from tablegauge.functions.scalars import aggregate, assign, lit, one_row, q, to_number, types_of
+from tablegauge.functions.scalars import aggregate, assign, one_row, q, to_number, types_of
 
 RAW = "__isolation_raw"
 LIMITS = "__isolation_limits"
-NODE_SCHEMA = "tree int, node int, feature int, cut double, child int, size int"
-LEAF = -1
+MEDIANS = "__medians"
+NODE_SCHEMA = "tree int, node int, feature int, cut double, length double"
+#: Rows scored at a time, so that all trees' positions stay in the CPU cache.
+CHUNK = 1024
 
 
 def mean_path(size):
@@ -33,41 +35,73 @@ def mean_path(size):
                     np.where(size == 2, 1.0, 0.0))
 
 
-def grow(values: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float, int, int]]:
-    """Nodes ``(feature, cut, left child, size)``; the right child is next to it."""
-    limit = max(1, math.ceil(math.log2(max(len(values), 2))))
-    nodes: list[tuple[int, float, int, int]] = [(LEAF, 0.0, LEAF, len(values))]
+def depth_limit(size: int) -> int:
+    return max(1, math.ceil(math.log2(max(size, 2))))
+
+
+def grow(values: np.ndarray, limit: int, rng: np.random.Generator) -> pd.DataFrame:
+    """A tree as a full binary layout of depth ``limit``.
+
+    Node ``k`` has children ``2k+1`` and ``2k+2``. A branch that ends early
+    always steps left (its cut is infinite) down to the bottom, where
+    ``length`` holds the path length of the rows that end there.
+    """
+    nodes = 2 ** (limit + 1) - 1
+    feature, cut, length = np.zeros(nodes, dtype=int), np.full(nodes, np.inf), np.zeros(nodes)
     pending = [(0, values, 0)]
     while pending:
         at, part, depth = pending.pop()
-        low, high = part.min(axis=0), part.max(axis=0)
+        low, high = (part.min(axis=0), part.max(axis=0)) if len(part) else (np.zeros(1), np.zeros(1))
         usable = np.flatnonzero(high > low)
-        if depth >= limit or len(part) <= 1 or len(usable) == 0:
+        if depth == limit or len(part) <= 1 or len(usable) == 0:
+            bottom = (at + 1) * 2 ** (limit - depth) - 1
+            length[bottom] = depth + mean_path(len(part))
             continue
-        feature = int(rng.choice(usable))
-        cut = float(rng.uniform(low[feature], high[feature]))
-        left = part[:, feature] <= cut
-        child = len(nodes)
-        nodes[at] = (feature, cut, child, len(part))
-        for side, rows in ((child, part[left]), (child + 1, part[~left])):
-            nodes.append((LEAF, 0.0, LEAF, len(rows)))
-            if len(rows):
-                pending.append((side, rows, depth + 1))
-    return nodes
-
-
-def path_lengths(values: np.ndarray, tree: dict[str, np.ndarray]) -> np.ndarray:
-    """Depth at which each row is isolated, all rows walking in step."""
-    at = np.zeros(len(values), dtype=np.int64)
-    depth = np.zeros(len(values))
-    rows = np.arange(len(values))
-    while len(rows):
-        feature = tree["feature"][at[rows]]
-        rows, feature = rows[feature != LEAF], feature[feature != LEAF]
-        right = values[rows, feature] > tree["cut"][at[rows]]
-        at[rows] = tree["child"][at[rows]] + right
-        depth[rows] += 1
-    return depth + mean_path(tree["size"][at])
+        feature[at] = rng.choice(usable)
+        cut[at] = rng.uniform(low[feature[at]], high[feature[at]])
+        right = part[:, feature[at]] > cut[at]
+        pending += [(2 * at + 1, part[~right], depth + 1), (2 * at + 2, part[right], depth + 1)]
+    return pd.DataFrame({"node": np.arange(nodes), "feature": feature, "cut": cut, "length": length})
+
+
+@dataclass(frozen=True)
+class Trees:
+    """All trees side by side; every array is ``trees x nodes``."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    length: np.ndarray
+    limit: int
+
+    def mean_length(self, values: np.ndarray) -> np.ndarray:
+        """Mean path length of each row, all rows and trees stepping together."""
+        count, nodes = self.feature.shape
+        base = (np.arange(count, dtype=np.int64) * nodes)[:, None]
+        feature, cut, length = self.feature.ravel(), self.cut.ravel(), self.length.ravel()
+        out = np.empty(len(values))
+        for start in range(0, len(values), CHUNK):
+            part = np.ascontiguousarray(values[start:start + CHUNK].T)
+            rows = part.shape[1]
+            flat, place = part.ravel(), np.arange(rows)
+            at = np.zeros((count, rows), dtype=np.int64)
+            for _ in range(self.limit):
+                here = base + at
+                seen = flat.take(feature.take(here) * rows + place)
+                at = 2 * at + 1 + (seen > cut.take(here))
+            out[start:start + CHUNK] = length.take(base + at).mean(axis=0)
+        return out
+
+
+def with_numbers(
+    df: DataFrame, names: Sequence[str], medians: DataFrame | None
+) -> tuple[DataFrame, list[str]]:
+    """Number expressions without gaps, over ``df`` with the medians at hand."""
+    kinds = types_of(df)
+    if medians is None:
+        return df, [f"coalesce({to_number(c, kinds[c])}, 0.0D)" for c in names]
+    stand_in = {c: f"{MEDIANS}.{q(c)}, " for c in medians.columns}
+    df = df.withColumn(MEDIANS, one_row(medians))
+    return df, [f"coalesce({to_number(c, kinds[c])}, {stand_in.get(c, '')}0.0D)" for c in names]
 
 
 @dataclass(frozen=True)
@@ -76,7 +110,7 @@ class ForestModel:
 
     names: tuple[str, ...]
     medians: DataFrame | None
-    trees: list[dict[str, np.ndarray]] | None
+    trees: Trees | None
     sample_size: int
 
     def raw(self, df: DataFrame, out: str = RAW) -> DataFrame:
@@ -84,9 +118,7 @@ class ForestModel:
 
         Only the numeric columns travel to Python; the rest stays in the JVM.
         """
-        kinds = types_of(df)
-        df = df.withColumn("__medians", one_row(self.medians))
-        inputs = [f"coalesce({to_number(c, kinds[c])}, `__medians`.{q(c)}, 0.0D)" for c in self.names]
+        df, inputs = with_numbers(df, self.names, self.medians)
         shared = df.sparkSession.sparkContext.broadcast(self.trees)
         normal = float(mean_path(self.sample_size))
 
@@ -95,12 +127,9 @@ class ForestModel:
             trees = shared.value
             for batch in batches:
                 values = np.column_stack([s.to_numpy(dtype=float) for s in batch])
-                total = np.zeros(len(values))
-                for tree in trees:
-                    total += path_lengths(values, tree)
-                yield pd.Series(np.exp2(-total / len(trees) / normal))
+                yield pd.Series(np.exp2(-trees.mean_length(values) / normal))
 
-        return df.withColumn(out, score(*[F.expr(e) for e in inputs])).drop("__medians")
+        return df.withColumn(out, score(*[F.expr(e) for e in inputs])).drop(MEDIANS)
 
     def score(
         self, df: DataFrame, out: str = "isolation_score", numbers: DataFrame | None = None
@@ -127,52 +156,58 @@ class IsolationForest:
 
     def fit(self, df: DataFrame, names: Sequence[str], row_key: Sequence[str]) -> ForestModel:
         """Grow the trees. The driver receives nodes only, at most 511 per tree."""
-        rows = df.count() if names else 0
+        if not names:
+            return ForestModel((), None, None, self.sample_size)
+        kinds = types_of(df)
+        counted = aggregate(df, {"__rows": "count(1)"} | {
+            c: f"count({to_number(c, kinds[c])})" for c in names}).first().asDict()
+        rows = counted["__rows"]
         if rows < self.minimum_rows:
             return ForestModel(tuple(names), None, None, self.sample_size)
-        medians = quantile_row(df, names, (0.5,)).selectExpr(
-            *[f"{q('q0_' + c)} AS {q(c)}" for c in names])
+        # Medians stand in for missing numbers; after cleaning there are none.
+        gaps = [c for c in names if counted[c] < rows]
+        medians = quantile_row(df, gaps, (0.5,)).selectExpr(
+            *[f"{q('q0_' + c)} AS {q(c)}" for c in gaps]) if gaps else None
         sample = self.sampled(df, names, row_key, rows, medians)
         size, seed = min(self.sample_size, rows), self.seed
-        width = len(names)
+        limit, width = depth_limit(size), len(names)
 
         def train(group: pd.DataFrame) -> pd.DataFrame:
             tree = int(group["tree"].iloc[0])
             ordered = group.sort_values("__order")
-            nodes = grow(np.array(ordered["values"].tolist(), dtype=float).reshape(-1, width),
-                         np.random.default_rng([seed, tree]))
-            frame = pd.DataFrame(nodes, columns=["feature", "cut", "child", "size"])
-            return frame.assign(tree=tree, node=np.arange(len(frame)))[
-                ["tree", "node", "feature", "cut", "child", "size"]]
+            values = np.array(ordered["values"].tolist(), dtype=float).reshape(-1, width)
+            grown = grow(values, limit, np.random.default_rng([seed, tree]))
+            return grown.assign(tree=tree)[["tree", "node", "feature", "cut", "length"]]
 
         nodes = sample.groupBy("tree").applyInPandas(train, NODE_SCHEMA).toPandas()
-        grown = [
-            {c: part.sort_values("node")[c].to_numpy() for c in ("feature", "cut", "child", "size")}
-            for _, part in nodes.groupby("tree")
-        ]
+        nodes = nodes.sort_values(["tree", "node"])
+        shape = (nodes["tree"].nunique(), -1)
+        grown = Trees(*[nodes[c].to_numpy().reshape(shape) for c in ("feature", "cut", "length")], limit)
         return ForestModel(tuple(names), medians, grown, size)
 
     def sampled(
-        self, df: DataFrame, names: Sequence[str], row_key: Sequence[str], rows: int, medians: DataFrame
+        self, df: DataFrame, names: Sequence[str], row_key: Sequence[str], rows: int,
+        medians: DataFrame | None,
     ) -> DataFrame:
         """``tree, values`` with at most ``sample_size`` random rows per tree.
 
-        A hash of the row key first thins the table to a fixed number of rows;
-        a second hash per tree then draws that tree's sample from them.
+        Everything is decided by hashes of the row key, in parallel: a first
+        one thins the table to a few rows per wanted row, a second one assigns
+        a row to a tree (or, in a small table, to several), and each tree keeps
+        its rows of lowest hash.
         """
-        kinds = types_of(df)
-        wanted = self.trees * self.sample_size
-        keep = min(1.0, 4.0 * wanted / rows)
+        spare = 4 * self.sample_size
         hashed = f"xxhash64({', '.join(q(c) for c in row_key)}, {self.seed})"
-        df = df.withColumn("__medians", one_row(medians))
-        values = ", ".join(
-            f"coalesce({to_number(c, kinds[c])}, `__medians`.{q(c)}, 0.0D)" for c in names)
-        pool = df.selectExpr(f"{hashed} AS __hash", f"array({values}) AS `values`")
-        if keep < 1.0:
-            pool = pool.filter(f"pmod(__hash, 1000000007) < {lit(int(keep * 1000000007))}")
-        pool = pool.orderBy("__hash").limit(wanted)
-        spread = pool.selectExpr("`values`", "__hash", f"explode(sequence(0, {self.trees - 1})) AS tree")
-        drawn = spread.selectExpr("tree", "`values`", "xxhash64(__hash, tree) AS __order")
+        df, values = with_numbers(df, names, medians)
+        pool = df.selectExpr(f"{hashed} AS __hash", f"array({', '.join(values)}) AS `values`")
+        if rows > self.trees * spare:
+            pool = pool.filter(f"pmod(__hash, {rows}) < {self.trees * spare}")
+            drawn = pool.selectExpr(
+                f"CAST(pmod(xxhash64(__hash), {self.trees}) AS INT) AS tree", "`values`", "__hash AS __order")
+        else:
+            drawn = pool.selectExpr("`values`", "__hash", f"explode(sequence(0, {self.trees - 1})) AS tree")
+            drawn = drawn.selectExpr("tree", "`values`", "xxhash64(__hash, tree) AS __order").filter(
+                f"pmod(__order, {rows}) < {spare}")
         return drawn.withColumn("__place", F.expr(
             "row_number() OVER (PARTITION BY tree ORDER BY __order)"
         )).filter(f"__place <= {self.sample_size}")

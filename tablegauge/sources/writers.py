@@ -16,13 +16,16 @@ LOG_SCHEMA = (
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A folder of CSV files with headers, one per task."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """A folder of CSV files with headers, one per task; values as they are."""
+    df.write.mode(mode).options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)
 
 
-def write_table(df: DataFrame, name: str) -> None:
-    """Create or replace a table of the catalog."""
-    df.write.mode("overwrite").saveAsTable(name)
+def write_table(df: DataFrame, name: str, location: str | None = None) -> None:
+    """Create or replace a table of the catalog, at ``location`` if given."""
+    writer = df.write.mode("overwrite")
+    (writer.option("path", location) if location else writer).saveAsTable(name)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: Mapping[str, str] | None = None,
