@@ -370,6 +370,6 @@ def _(x):
     for c in MONEY for suffix, label in fixed.HOTSPOT_SUFFIXES) + ") WHERE n > 0 "
     "ORDER BY n DESC, \"column\" DESC, label DESC LIMIT 5")
 def _(x):
-    return G.hotspots(x.f_rows)
+    return G.hotspots(x.f_rows).drop("position")
 
 

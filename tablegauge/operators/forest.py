@@ -124,9 +124,11 @@ class ForestModel:
 
         @F.pandas_udf("double")
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            # With a single input column a batch is that column itself.
             trees = shared.value
             for batch in batches:
-                values = np.column_stack([s.to_numpy(dtype=float) for s in batch])
+                columns = (batch,) if isinstance(batch, pd.Series) else batch
+                values = np.column_stack([s.to_numpy(dtype=float) for s in columns])
                 yield pd.Series(np.exp2(-trees.mean_length(values) / normal))
 
         return df.withColumn(out, score(*[F.expr(e) for e in inputs])).drop(MEDIANS)

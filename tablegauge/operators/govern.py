@@ -209,7 +209,7 @@ def suggested_actions(df: DataFrame) -> DataFrame:
     issue = fixed.HOTSPOT_ISSUE.split("{}")
     advice = fixed.HOTSPOT_ADVICE.split("{}")
     spots = hotspots(df).selectExpr(
-        "CAST(4 + row_number() OVER (ORDER BY n DESC, `column` DESC, label DESC) - 1 AS INT) AS position",
+        f"{len(counts)} + position AS position",
         "'Low' AS priority",
         f"concat({lit(issue[0])}, `column`, {lit(issue[1])}, label) AS issue", "n",
         f"concat({lit(advice[0])}, `column`, {lit(advice[1])}) AS recommendation")

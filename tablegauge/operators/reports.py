@@ -190,10 +190,13 @@ def hotspots(df: DataFrame, n: int = 5) -> DataFrame:
         (c, c[: -len(suffix)], label) for c in df.columns
         for suffix, label in fixed.HOTSPOT_SUFFIXES if c.endswith(suffix)
     ]
-    schema = "`column` string, label string, n bigint"
+    schema = "position int, `column` string, label string, n bigint"
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
     sums = aggregate(df, {c: f"CAST(coalesce(sum({q(c)}), 0) AS BIGINT)" for c, _, _ in pairs})
-    cells = ", ".join(f"{lit(base)}, {lit(label)}, {q(c)}" for c, base, label in pairs)
-    return sums.selectExpr(f"stack({len(pairs)}, {cells}) AS (`column`, label, n)").filter(
-        "n > 0").orderBy(F.desc("n"), F.desc("column"), F.desc("label")).limit(n)
+    # One row holds all sums, so they are ranked inside it.
+    cells = ", ".join(
+        f"named_struct('n', {q(c)}, 'column', {lit(base)}, 'label', {lit(label)})" for c, base, label in pairs)
+    ranked = f"slice(reverse(array_sort(filter(array({cells}), s -> s.n > 0))), 1, {n})"
+    return sums.selectExpr(f"posexplode({ranked}) AS (position, spot)").selectExpr(
+        "position", "spot.`column`", "spot.label", "spot.n")
