@@ -128,8 +128,13 @@ def title_case(e: str) -> str:
 
 
 def is_placeholder(e: str, placeholders: Iterable[str]) -> str:
-    """Null, or a placeholder word once trimmed and upper-cased."""
-    return f"({e} IS NULL OR upper({strip(e)}) IN {words(placeholders)})"
+    """Null, or a placeholder word once trimmed and upper-cased.
+
+    Looked up in a constant array: an IN list would be unrolled into the
+    generated code, which then grows past what the JVM compiles.
+    """
+    listed = f"array{words(placeholders)}"
+    return f"({e} IS NULL OR array_contains({listed}, upper({strip(e)})))"
 
 
 # --- numbers and dates ----------------------------------------------------------

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 
 from tablegauge import fixed
-from tablegauge.functions.scalars import assign, clamp, holds, lit
+from tablegauge.functions.scalars import assign, clamp, flag, lit
 
 HIT = "__hit_"
 
@@ -28,24 +28,28 @@ class Rule:
 
 
 def evaluate(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, list[Rule]]:
-    """Evaluate every condition once, into hidden columns the folds read."""
-    df = assign(df, {f"{HIT}{i}": holds(r.condition) for i, r in enumerate(rules)})
+    """Evaluate every condition once, into hidden 0/1 columns the folds read."""
+    df = assign(df, {f"{HIT}{i}": flag(r.condition) for i, r in enumerate(rules)})
     return df, [replace(r, condition=f"{HIT}{i}") for i, r in enumerate(rules)]
 
 
 def dimension_score(rules: Sequence[Rule], dimension: str) -> str:
-    """100 less the penalties of the rules that hold, within 0..100."""
+    """100 less the penalties of the (evaluated) rules that hold, within 0..100."""
     score = "100.0D"
     for rule in rules:
         if rule.dimension == dimension and rule.penalty:
-            score = f"{score} - CASE WHEN {rule.condition} THEN {lit(float(rule.penalty))} ELSE 0.0D END"
+            score = f"{score} - {rule.condition} * {lit(float(rule.penalty))}"
     return clamp(score)
 
 
 def issue_log(rules: Sequence[Rule]) -> str:
-    """Labels of the rules that hold, in rule order, joined with a bar."""
-    labels = [f"CASE WHEN {r.condition} THEN {lit(r.label)} END" for r in rules if r.label]
-    return "concat_ws(' | ', " + ", ".join(labels) + ")" if labels else "''"
+    """Labels of the (evaluated) rules that hold, in rule order, joined with a bar.
+
+    The array form also splits the generated stage in two, which keeps each
+    method small enough for the JVM to compile.
+    """
+    labels = [f"CASE WHEN {r.condition} = 1 THEN {lit(r.label)} END" for r in rules if r.label]
+    return f"array_join(array_compact(array({', '.join(labels)})), ' | ')" if labels else "''"
 
 
 def weighted(prefix: str) -> str:

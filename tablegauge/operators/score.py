@@ -22,6 +22,7 @@ OVERALL = "__overall"
 EXACT = "__exact_"
 REPEATED = "__repeated_"
 RATES = "__rates"
+ISSUES = "__issues"
 
 
 @dataclass(frozen=True)
@@ -108,9 +109,11 @@ def score_invoices(
         df = flag_repeats(df, "invoice_number", mark, order_by)
         rules.append(Rule("uniqueness", mark, *fixed.DUPLICATE_INVOICE))
     df, rules = R.evaluate(df, rules + list(extra))
-    df = assign(df, {EXACT + d: R.dimension_score(rules, d) for d in fixed.DIMENSIONS})
+    df = assign(df, {ISSUES: R.issue_log(rules)} | {
+        EXACT + d: R.dimension_score(rules, d) for d in fixed.DIMENSIONS
+    }, drop=[r.condition for r in rules])
     df = assign(df, {f"dq_score_{d}": half_even(EXACT + d) for d in fixed.DIMENSIONS})
-    return Scored(_finish(df, R.weighted(EXACT), rules), True)
+    return Scored(_finish(df, R.weighted(EXACT)), True)
 
 
 # --- inferred-schema rules -----------------------------------------------------
@@ -213,23 +216,21 @@ def score_table(
         uniqueness.append(Rule("uniqueness", q(REPEATED + c), 50.0 / min(len(roles.ids), 2)))
     rules = validity + accuracy + completeness + consistency + uniqueness
     df, rules = R.evaluate(df, rules + list(extra))
-    df = assign(
-        df, {f"dq_score_{d}": half_even(R.dimension_score(rules, d)) for d in fixed.DIMENSIONS},
-        drop=(RATES,),
-    )
-    return Scored(_finish(df, R.weighted("dq_score_"), rules), False)
+    df = assign(df, {ISSUES: R.issue_log(rules)} | {
+        f"dq_score_{d}": half_even(R.dimension_score(rules, d)) for d in fixed.DIMENSIONS
+    }, drop=[RATES, *[r.condition for r in rules]])
+    return Scored(_finish(df, R.weighted("dq_score_")), False)
 
 
 # --- shared -----------------------------------------------------------------
 
-def _finish(df: DataFrame, composite: str, rules: Sequence[Rule]) -> DataFrame:
-    """Composite, integer score, grade, severity and issue log."""
+def _finish(df: DataFrame, composite: str) -> DataFrame:
+    """Composite, integer score, grade and severity; the issue log comes last."""
     df = assign(df, {OVERALL: half_even(composite)})
     df = assign(df, {"dq_score": f"CAST({OVERALL} AS INT)", "dq_grade": R.grade(OVERALL)})
     return assign(df, {
-        "dq_severity": R.severity("dq_score_", "dq_score"),
-        "dq_issues": R.issue_log(rules),
-    }, drop=tuple(r.condition for r in rules))
+        "dq_severity": R.severity("dq_score_", "dq_score"), "dq_issues": ISSUES,
+    }, drop=(ISSUES,))
 
 
 def score_stats(scored: Scored) -> DataFrame:
