@@ -1,7 +1,7 @@
 """Cleaning and scoring queries (C and Q rows of the inventory)."""
 
 from checks.context import KEY, query
-from checks.oracle_parts import DATES, DIMS, MONEY, half
+from checks.oracle_parts import DATES, DIMS, MONEY, half, mean_tenths
 from tablegauge import fixed
 from tablegauge.config import CleanConfig, InvoiceConfig
 from tablegauge.functions.scalars import pick
@@ -257,11 +257,12 @@ def _(x):
 
 
 def _stats_sql(table, prefix):
-    means = ", ".join(f"{half(f'avg({prefix}{d})')} AS avg_{d}" for d in DIMS)
+    mean = "avg({})".format if prefix == "x_" else mean_tenths
+    means = ", ".join(f"{half(mean(prefix + d))} AS avg_{d}" for d in DIMS)
     grades = ", ".join(f"count(*) FILTER (WHERE dq_grade = '{g}') AS grade_{g}" for g in fixed.GRADES)
     levels = ", ".join(
         f"count(*) FILTER (WHERE dq_severity = '{s}') AS sev_{s.lower()}" for s in fixed.SEVERITIES)
-    return f"""SELECT {half('avg(overall)')} AS mean_score, {half('quantile_cont(overall, 0.5)')} AS median_score,
+    return f"""SELECT {half(mean_tenths('overall'))} AS mean_score, {half('quantile_cont(overall, 0.5)')} AS median_score,
         CAST(trunc(min(overall)) AS INTEGER) AS min_score, count(*) FILTER (WHERE overall >= 99) AS perfect_rows,
         {means}, {grades}, {levels} FROM {table}"""
 

@@ -33,6 +33,10 @@ def half(e, digits=1):
     return f"(round_even(({e}) * {scale}, 0) / {scale})"
 
 
+def mean_tenths(e):
+    return f"(CAST(sum(CAST(round_even({e} * 10e0, 0) AS BIGINT)) AS DOUBLE) / (10e0 * count({e})))"
+
+
 def flag(e):
     return f"CASE WHEN {e} THEN 1 ELSE 0 END"
 
@@ -213,7 +217,7 @@ CTES = {
     "months": """SELECT *, CASE WHEN invoice_date = 'UNKNOWN' THEN '1970-01' ELSE substr(invoice_date, 1, 7) END
       AS run_month FROM f_score""",
     "runs": f"""SELECT 'invoices' AS dataset_name, run_month || '-01T00:00:00' AS created_at,
-      count(*) AS row_count, {half('avg(overall)')} AS overall,
+      count(*) AS row_count, {half(mean_tenths('overall'))} AS overall,
       {', '.join(f"{half('avg(x_' + d + ')')} AS {d}" for d in DIMS)},
       count(*) FILTER (WHERE dq_severity = 'CRITICAL') AS critical_count FROM months GROUP BY run_month""",
     "measures": " UNION ALL ".join(
@@ -238,6 +242,11 @@ CTES = {
       CAST(count(*) FILTER (WHERE passed) AS INTEGER) AS gates_passed,
       CAST(count(*) FILTER (WHERE NOT passed) AS INTEGER) AS gates_failed
       FROM blocks GROUP BY created_at""",
+    # blocking gates of a quarantined run, failed gates of one to remediate
+    "drivers": """SELECT b.*, v.verdict FROM blocks b JOIN verdicts v USING (created_at)
+      WHERE CASE verdict WHEN 'QUARANTINE' THEN blocking WHEN 'REMEDIATE' THEN NOT passed ELSE FALSE END""",
+    "labelled": "SELECT * FROM (VALUES " + ", ".join(
+        f"({text(k)}, {text(v)})" for k, v in fixed.GATE_LABELS.items()) + ") l(gate, label)",
 }
 
 

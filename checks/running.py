@@ -2,8 +2,7 @@
 
 from checks.cleaning import CLEAN_F, SCORES, cols
 from checks.context import KEY, query
-from checks.oracle_parts import DIMS, half, text
-from tablegauge import fixed
+from checks.oracle_parts import DIMS, half, mean_tenths, text
 from tablegauge.config import Policy
 from tablegauge.functions.scalars import pick
 from tablegauge.operators import drift as D
@@ -206,11 +205,11 @@ def _(x):
     return report.selectExpr("source", "available", "size(added) AS added", "size(removed) AS removed")
 
 
-@query("m9_source_comparison", f"""SELECT 'invoices' AS source, count(*) AS "rows", {half('avg(overall)')} AS overall_dq,
+@query("m9_source_comparison", f"""SELECT 'invoices' AS source, count(*) AS "rows", {half(mean_tenths('overall'))} AS overall_dq,
       count(*) FILTER (WHERE dq_severity = 'CRITICAL') AS critical,
       {', '.join(f"{half('avg(x_' + d + ')')} AS {d}" for d in DIMS)} FROM f_score
-    UNION ALL SELECT 'ledger', count(*), {half('avg(overall)')}, count(*) FILTER (WHERE dq_severity = 'CRITICAL'),
-      {', '.join(half('avg(dq_score_' + d + ')') for d in DIMS)} FROM u_score""")
+    UNION ALL SELECT 'ledger', count(*), {half(mean_tenths('overall'))}, count(*) FILTER (WHERE dq_severity = 'CRITICAL'),
+      {', '.join(half(mean_tenths('dq_score_' + d)) for d in DIMS)} FROM u_score""")
 def _(x):
     return D.compare_sources(_compared(x)).drop("columns", "signature")
 
@@ -262,7 +261,7 @@ def _(x):
 
 @query("m16_decisions", f"""SELECT created_at, verdict, confidence, gates_total, gates_passed, gates_failed,
     row_count, critical_count, overall AS overall_dq_score,
-    (SELECT string_agg(gate, ',' ORDER BY place) FROM blocks b WHERE b.created_at = v.created_at AND blocking) AS drivers
+    coalesce((SELECT string_agg(gate, ',' ORDER BY place) FROM drivers d WHERE d.created_at = v.created_at), '') AS drivers
     FROM verdicts v JOIN runs USING (created_at)""")
 def _(x):
     out = V.decide(V.with_gates(x.runs), ["created_at"])
@@ -275,10 +274,15 @@ def _(x):
            || CAST(CAST(round_even(target, 0) AS INTEGER) AS VARCHAR) || '.'
       ELSE label || ' is ' || printf('%.2f', actual) || '%, above the ' || printf('%.2f', target) || '% limit ('
            || n || ' rows).' END AS reason
-    FROM blocks JOIN (VALUES """ + ", ".join(f"({text(k)}, {text(v)})" for k, v in fixed.GATE_LABELS.items()) + """) l(gate, label)
-      USING (gate) WHERE blocking
+    FROM drivers JOIN labelled USING (gate)
     UNION ALL SELECT created_at, 99, gates_passed || ' of ' || gates_total || ' gates still passed.' FROM verdicts
-      WHERE gates_passed > 0) GROUP BY created_at""")
+      WHERE gates_passed > 0 AND verdict <> 'APPROVE'
+    UNION ALL SELECT created_at, 0, 'All ' || gates_total || ' quality gates passed.' FROM verdicts WHERE verdict = 'APPROVE'
+    UNION ALL SELECT created_at, 1, 'Strongest area: ' || label || ' (' || CAST(CAST(round_even(actual, 0) AS INTEGER) AS VARCHAR)
+      || ' vs target ' || CAST(CAST(round_even(target, 0) AS INTEGER) AS VARCHAR) || ').'
+      FROM (SELECT * FROM gates JOIN verdicts USING (created_at) WHERE verdict = 'APPROVE' AND kind = 'min'
+        QUALIFY row_number() OVER (PARTITION BY created_at ORDER BY margin DESC, place) = 1) JOIN labelled USING (gate)
+    ) GROUP BY created_at""")
 def _(x):
     return V.decide(V.with_gates(x.runs), ["created_at"]).selectExpr("created_at", "array_join(reasons, '; ') AS reasons")
 

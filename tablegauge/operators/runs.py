@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tablegauge import fixed
 from tablegauge.functions.scalars import aggregate, half_even, lit, q, types_of
 from tablegauge.operators.predicates import source_columns
-from tablegauge.operators.score import EXACT, OVERALL, Scored
+from tablegauge.operators.score import OVERALL, Scored, dimension_mean, mean_tenths
 
 RUN_KEY = ("dataset_signature", "dataset_name", "created_at")
 MEASURES = ("overall", *fixed.DIMENSIONS)
@@ -60,16 +60,15 @@ def build_runs(
     kinds = types_of(scored.frame)
     shape = [(c, kinds[c].simpleString()) for c in public]
     own = [(c, t) for c, t in source_columns(scored.frame) if c not in by]
-    source = EXACT if scored.fixed_schema else "dq_score_"
     out = {
         "row_count": "count(1)",
-        "overall_dq_score": half_even(f"avg({OVERALL})"),
+        "overall_dq_score": half_even(mean_tenths(OVERALL)),
         "grade_counts": _seen_counts("dq_grade", fixed.GRADES),
         "severity_counts": _seen_counts("dq_severity", fixed.SEVERITIES),
         "critical_count": "count_if(dq_severity = 'CRITICAL')",
         "anomaly_count": "count_if(is_anomaly)" if "is_anomaly" in kinds else "CAST(NULL AS BIGINT)",
     }
-    out |= {f"__mean_{d}": half_even(f"avg({source}{d})") for d in fixed.DIMENSIONS}
+    out |= {f"__mean_{d}": half_even(dimension_mean(scored, d)) for d in fixed.DIMENSIONS}
     columns = ", ".join(f"named_struct('name', {lit(c)}, 'dtype', {lit(t)})" for c, t in own)
     dims = ", ".join(f"{lit(d)}, __mean_{d}" for d in fixed.DIMENSIONS)
     weights = ", ".join(f"{lit(d)}, {fixed.WEIGHT_PERCENT[d]}" for d in fixed.DIMENSIONS)

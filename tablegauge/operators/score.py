@@ -233,6 +233,22 @@ def _finish(df: DataFrame, composite: str) -> DataFrame:
     }, drop=(ISSUES,))
 
 
+def mean_tenths(e: str) -> str:
+    """Mean of values with one decimal, summed as whole tenths.
+
+    A sum of doubles depends on the order in which tasks finish, and a mean
+    may lie exactly between two rounded values; a sum of integers does not.
+    """
+    return f"CAST(sum(CAST(rint({e} * 10) AS BIGINT)) AS DOUBLE) / (10.0D * count({e}))"
+
+
+def dimension_mean(scored: Scored, dimension: str) -> str:
+    """Mean of a dimension: unrounded for the fixed-schema rules."""
+    if scored.fixed_schema:
+        return f"avg({EXACT}{dimension})"
+    return mean_tenths(f"dq_score_{dimension}")
+
+
 def score_stats(scored: Scored) -> DataFrame:
     """Mean, median, minimum, perfect rows, dimension means, counts.
 
@@ -240,14 +256,13 @@ def score_stats(scored: Scored) -> DataFrame:
     is safe: a score has at most 1,001 distinct values, so the state of the
     aggregate stays small.
     """
-    source = EXACT if scored.fixed_schema else "dq_score_"
     out = {
-        "mean_score": half_even(f"avg({OVERALL})"),
+        "mean_score": half_even(mean_tenths(OVERALL)),
         "median_score": half_even(f"percentile({OVERALL}, 0.5)"),
         "min_score": f"CAST(min({OVERALL}) AS INT)",
         "perfect_rows": f"count_if({OVERALL} >= 99)",
     }
-    out |= {f"avg_{d}": half_even(f"avg({source}{d})") for d in fixed.DIMENSIONS}
+    out |= {f"avg_{d}": half_even(dimension_mean(scored, d)) for d in fixed.DIMENSIONS}
     out |= {f"grade_{g}": f"count_if(dq_grade = '{g}')" for g in fixed.GRADES}
     out |= {f"sev_{s.lower()}": f"count_if(dq_severity = '{s}')" for s in fixed.SEVERITIES}
     return aggregate(scored.frame, out)
