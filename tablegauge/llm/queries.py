@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablegauge.llm import binary, language, packing
-from tablegauge.llm.common import documents, staged
+from tablegauge.llm import binary, decontaminate, language, near, packing
+from tablegauge.llm.common import documents, staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,17 +21,28 @@ def op2_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), vocabulary())
 
 
+def op5_near(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(documents(spark, folder))
+
+
 def op7_binary(spark: SparkSession, folder: str) -> DataFrame:
     return binary.segments(staged(binary.matrices(documents(spark, folder), vocabulary())))
 
 
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.overlaps(documents(spark, folder), table(spark, folder, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(documents(spark, folder)).select("doc_id", "held_out", "lang_pred", "score")
 
 
 QUERIES: dict[str, Query] = {
     "op2_pack": op2_pack,
+    "op5_near": op5_near,
     "op7_binary": op7_binary,
+    "op8_decontaminate": op8_decontaminate,
     "op10_language": op10_language,
 }
 
