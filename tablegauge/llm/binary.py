@@ -19,7 +19,7 @@ from tablegauge.llm.common import sliced
 from tablegauge.llm.packing import WINDOW, ids_of
 
 #: Tokens a task gathers before it packs them.
-BUFFER = 4_000_000
+BUFFER = 1_000_000
 SEGMENT = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64())])
 ROWS = pa.schema([("sequence_id", pa.int64()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())),
                   ("position_ids", pa.binary()), ("segments", pa.list_(SEGMENT))])

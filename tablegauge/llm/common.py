@@ -16,7 +16,7 @@ from tablegauge.sources.staging import staged
 __all__ = ["Words", "chunks", "documents", "mixed", "remainder", "ruled", "sampled", "sliced", "staged", "table"]
 
 #: Characters that one step of a vectorised operator holds at a time.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -113,7 +113,7 @@ class Words:
             edges = np.concatenate(([0], edges))
         first, last = edges[0::2], edges[1::2]
         first = first[:len(last)]  # the text ends in a blank
-        room = max(CHUNK * 2, 1 << int(len(bytes_)).bit_length())
+        room = 1 << max(21, int(len(bytes_)).bit_length())
         with np.errstate(over="ignore"):
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[bytes_] * _powers(room, RADIX)[:len(bytes_)], dtype=np.uint64)))
             hashes = mixed((sums[last] - sums[first]) * _powers(room, pow(RADIX, -1, 1 << 64))[first])

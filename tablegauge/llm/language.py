@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,12 +189,19 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return kept.mapInArrow(work, out)
 
 
+def held_out() -> Column:
+    """The rule of documents never learnt from; true where doc_id is null."""
+    return ruled(remainder("doc_id", 4) == 2)
+
+
+def learnable(docs: DataFrame) -> DataFrame:
+    return docs.where(~held_out())
+
+
 def identify(docs: DataFrame, rows: int = 2000) -> DataFrame:
     """Language of every document, learnt from those whose crc32(doc_id) mod 4 is not 2.
 
     Rows with a null doc_id are held out. Returns docs' columns, held_out,
     lang_pred and score.
     """
-    docs = docs.withColumn("held_out", ruled(remainder("doc_id", 4) == 2))
-    model = fit(docs.where("NOT held_out"), rows)
-    return predict(docs, model)
+    return predict(docs.withColumn("held_out", held_out()), fit(learnable(docs), rows))

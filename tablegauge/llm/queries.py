@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablegauge.llm import binary, decontaminate, language, near, packing
+from tablegauge.llm import binary, decontaminate, language, near, packing, pii
 from tablegauge.llm.common import documents, staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return pii.find(docs, pii.train(docs))
+
+
 def op2_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), vocabulary())
 
@@ -39,6 +44,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii": op1_pii,
     "op2_pack": op2_pack,
     "op5_near": op5_near,
     "op7_binary": op7_binary,

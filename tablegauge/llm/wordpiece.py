@@ -24,7 +24,7 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 END = "</w>"
 # --- end of fixed values ---
 #: Words whose ids a process keeps; the first it meets, which are the frequent ones.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 
 def _bytes_of_symbols() -> dict[str, int]:
