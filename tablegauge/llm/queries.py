@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablegauge.llm import binary, decontaminate, language, near, packing, pii
+from tablegauge.llm import binary, decontaminate, language, near, neighbours, packing, pii, secrets, sharding, toxicity
 from tablegauge.llm.common import documents, staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +27,24 @@ def op2_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), vocabulary())
 
 
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find(documents(spark, folder))
+
+
+def op4_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(documents(spark, folder))
+
+
 def op5_near(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(documents(spark, folder))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, folder, "labels")))
+    return toxicity.predict(docs, model)
+
+
 def op7_binary(spark: SparkSession, folder: str) -> DataFrame:
     return binary.segments(staged(binary.matrices(documents(spark, folder), vocabulary())))
 
@@ -39,17 +54,29 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(documents(spark, folder)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {
-    "op1_pii": op1_pii,
-    "op2_pack": op2_pack,
-    "op5_near": op5_near,
-    "op7_binary": op7_binary,
-    "op8_decontaminate": op8_decontaminate,
-    "op10_language": op10_language,
-}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_pii, op2_pack, op3_secrets, op4_shards, op5_near, op6_toxicity, op7_binary, op8_decontaminate, op9_neighbours, op10_language)}
+
+#: Rows that take part in a search, as DuckDB SQL.
+_USABLE = """vec_id IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0"""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_neighbours": f"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {_USABLE}),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         sqrt(list_sum(list_transform(list_zip(q.e, c.e), x -> (x[1] - x[2]) * (x[1] - x[2])))) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM scored)
+WHERE rank <= 10""",
+}
