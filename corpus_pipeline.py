@@ -16,8 +16,8 @@ SURE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: those without a letter, with a null text
     or without a likely language go."""
-    found = language.predict(docs, language.fit(language.learnable(docs)))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
+    found = language.predict(docs, language.fit(language.learnable(docs)), "__lang", "__sure")
+    return found.where((F.col("__lang") != language.UNKNOWN) & (F.col("__sure") >= SURE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

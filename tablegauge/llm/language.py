@@ -44,11 +44,11 @@ class LanguageModel:
     def __init__(self, languages: list[str], prior: np.ndarray, words: dict[str, np.ndarray], parts: dict[str, np.ndarray]):
         self.languages, self.prior = languages, prior
         self.words = {w: i for i, w in enumerate(words)}
-        self.word_logs = np.array(list(words.values())).reshape(-1, len(languages))
+        self.word_logs = np.array(list(words.values())).reshape(len(words), len(languages))
         self.parts = {g: i + 1 for i, g in enumerate(parts)}
         floor = np.full((1, len(languages)), np.log(1e-7))  # a character never seen
         steps = np.array([0.0] + [(LONGEST - len(g)) * BACKOFF for g in parts])
-        self.part_logs = np.concatenate((floor, np.array(list(parts.values())).reshape(-1, len(languages)))) + steps[:, None]
+        self.part_logs = np.concatenate((floor, np.array(list(parts.values())).reshape(len(parts), len(languages)))) + steps[:, None]
 
     def longest_parts(self, word: str) -> list[int]:
         """The rows of the longest known n-grams of an unseen word, left to right."""
@@ -170,21 +170,21 @@ def build(docs: dict[str, int], words: list[tuple[str, str, int]], parts: list[t
     return LanguageModel(languages, prior, logs(words), {k: v for own in by_length.values() for k, v in logs(own).items()})
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with lang_pred and score.
+def predict(docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", posterior: str = "score") -> DataFrame:
+    """``docs`` with the columns named by ``lang`` and ``posterior``.
 
     A null text or one without a letter is ``und`` with score 0; every other row
     gets a language of the model, an empty model gives ``und``. Existing columns
     of these names are replaced; other columns pass through, repeated rows stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score")
-    out = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kept = docs.drop(lang, posterior)
+    out = T.StructType([*kept.schema.fields, T.StructField(lang, T.StringType()), T.StructField(posterior, T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             named, score = shared.value.predict([x or "" for x in batch.column("text").to_pylist()])
-            yield batch.append_column("lang_pred", pa.array(named, pa.string())).append_column("score", pa.array(score, pa.float64()))
+            yield batch.append_column(lang, pa.array(named, pa.string())).append_column(posterior, pa.array(score, pa.float64()))
 
     return kept.mapInArrow(work, out)
 

@@ -241,14 +241,14 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     and text any one.
     """
     rows, table = classes(docs)
-    winners = table.where("key = class_key").select("key", F.col("class_doc").alias("doc"))
-    counted = staged(rows.join(winners.withColumnRenamed("key", "own"), (F.col("key") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("doc")))
-                     .groupBy("own", "doc").agg(F.count("*").alias("copies")))
+    winners = table.where("key = class_key").select(F.col("key").alias("__own"), F.col("class_doc").alias("__doc"))
+    counted = staged(rows.join(winners, (F.col("key") == F.col("__own")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
+                     .groupBy("__own", "__doc").agg(F.count("*").alias("__copies")))
     marked = docs.withColumn("__key", text_key())
 
     def chosen(of: DataFrame) -> DataFrame:
-        return marked.join(of, (marked["__key"] == of["own"]) & marked["doc_id"].cast("long").eqNullSafe(of["doc"])).drop("own", "doc", "copies")
+        return marked.join(of, (marked["__key"] == of["__own"]) & marked["doc_id"].cast("long").eqNullSafe(of["__doc"])).drop("__own", "__doc", "__copies")
 
-    once = chosen(counted.where("copies = 1"))
-    again = chosen(counted.where("copies > 1")).dropDuplicates(["doc_id", "__key"])
+    once = chosen(counted.where("__copies = 1"))
+    again = chosen(counted.where("__copies > 1")).dropDuplicates(["doc_id", "__key"])
     return once.unionByName(again).drop("__key")

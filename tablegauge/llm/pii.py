@@ -43,6 +43,8 @@ WINDOW, STRIDE = 96, 32
 #: Of training: documents sampled, windows of either sort (with a span or without).
 DOCUMENTS, WINDOWS = 20_000, 1000
 CONFIDENT = 0.9
+#: Characters an added span has at least.
+LEAST = 6
 
 _PUNCTUATION = "@.+-_%() \n"
 SYMBOLS = 3 + len(_PUNCTUATION)  # padding, letters, digits, these, and all else as letters
@@ -188,17 +190,34 @@ def model_spans(texts: list[str], model: Tagger, confident: float = CONFIDENT, s
                     continue
                 p, q = start + a, min(start + b, len(text))
                 trust = float(sure[a:b].mean())
-                if trust >= confident and q - p >= 6 and MARK.search(text, p, q):
+                if trust >= confident and q - p >= LEAST and MARK.search(text, p, q):
                     votes[i][(KINDS[(row[a] - 1) // 2], p, q)] += trust
     return [disjoint(v) if v else [] for v in votes]
 
 
+def beside(text: str, span: Span, base: list[Span]) -> list[Span]:
+    """What of an added span lies outside the rules' spans and is still long enough."""
+    kind, end = span[0], span[2]
+    left, at = [], span[1]
+    for a, b in sorted((a, b) for _, a, b in base if a < end and span[1] < b):
+        left.append((at, a))
+        at = max(at, b)
+    out = []
+    for a, b in [*left, (at, end)]:
+        own = text[a:b]
+        a += len(own) - len(own.lstrip())
+        b = a + len(own.strip())
+        if b - a >= LEAST and MARK.search(text, a, b):
+            out.append((kind, a, b))
+    return out
+
+
 def all_spans(texts: list[str], model: Tagger | None) -> list[tuple[list[Span], list[Span]]]:
     """(rules' spans, added spans) of each text; added ones overlap no rule's span."""
     out = []
     for text, more in zip(texts, model_spans(texts, model) if model else [[]] * len(texts)):
         base = base_spans(text)
-        out.append((base, [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in base)]))
+        out.append((base, [s for span in more for s in beside(text, span, base)]))
     return out
 
 

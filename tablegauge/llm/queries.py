@@ -67,14 +67,14 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
 
 #: Rows that take part in a search, as DuckDB SQL.
 _USABLE = """vec_id IS NOT NULL AND len(embedding) > 0
-  AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0"""
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
 
 ORACLES: dict[str, str] = {
     "op9_neighbours": f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {_USABLE}),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         sqrt(list_sum(list_transform(list_zip(q.e, c.e), x -> (x[1] - x[2]) * (x[1] - x[2])))) AS score
+         sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM scored)

@@ -1,8 +1,8 @@
 """Toxicity of texts by maximum-scoring segments of token log-odds.
 
-Each word's log-odds of toxic against other text has an informative Dirichlet prior
-(the corpus's own frequencies); only clear ones count, and all words carry a small
-loss. A linear scan finds every maximal scoring segment. A segment's score becomes
+The log-odds of toxic against other texts of each word, and of each beginning of a
+word, have an informative Dirichlet prior (the corpus's own frequencies); only clear
+ones count, a word's own before its beginnings', and all words carry a small loss. A linear scan finds every maximal scoring segment. A segment's score becomes
 an excess over what chance gives in a text of that length (the extreme-value law of
 maximal segments), and the summed excess becomes a probability.
 """
@@ -14,17 +14,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.llm.common import Words, chunks, remainder, ruled, sliced, staged
 
-#: Labelled rows learnt from, and words kept.
-ROWS, WORDS = 20_000, 200_000
-PRIOR = 1000.0
-CLEAR = 3.0
+#: Labelled rows learnt from, and features kept.
+ROWS, WORDS = 20_000, 300_000
+#: Pseudo-texts of the Dirichlet prior; standard errors from which log-odds are clear.
+PRIOR = 10.0
+CLEAR = 4.0
+#: Characters of a word's beginnings that are features like words.
+SHORTEST, LONGEST = 4, 7
 LOSS = 0.15
 STRIPPED = ".,;:!?\"'()[]*$%&#|<>"
 
@@ -56,10 +58,14 @@ def segments(values: np.ndarray) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), float(q - p)) for a, b, p, q in kept]
 
 
+def features(word: str) -> list[str]:
+    """A word and its beginnings, marked, longest first."""
+    return [word, *(f"{word[:n]}*" for n in range(min(LONGEST, len(word) - 1), SHORTEST - 1, -1))]
+
+
 @dataclass
 class ToxicityModel:
-    hashes: pd.Index
-    log_odds: np.ndarray
+    log_odds: dict[str, float]  # of clear features
     scale: float  # lambda of the extreme-value law
     factor: float  # its K
     weights: tuple[float, float]  # of 1 and log(1 + excess)
@@ -67,33 +73,29 @@ class ToxicityModel:
     def excess(self, score: float, tokens: int) -> float:
         return max(0.0, self.scale * score - np.log(max(self.factor * tokens, 1e-300)))
 
+    def value(self, word: str) -> float:
+        """A word's log-odds, or those of its longest clear beginning, less the loss."""
+        for feature in features(word):
+            if (found := self.log_odds.get(feature)) is not None:
+                return found - LOSS
+        return -LOSS
+
     def scan(self, texts: list[str]) -> list[tuple[int, list[tuple[int, int, float]]]]:
         """(number of tokens, segments) of each text."""
         out = []
         for part in chunks(texts):
             words = Words([text.lower() for text in texts[part]])
-            values = self.values(words)
+            values = np.array([self.value(folded(w)) for w in words.unique])
             for a, b in zip(words.starts, words.ends):
-                own = values[words.at[a:b]]
-                out.append((int(b - a), segments(own)))
+                out.append((int(b - a), segments(values[words.at[a:b]]) if b > a else []))
         return out
 
-    def values(self, words: Words) -> np.ndarray:
-        place = self.hashes.get_indexer(word_keys(words))
-        return np.where(place < 0, 0.0, self.log_odds[place] if len(self.log_odds) else 0.0) - LOSS
-
     def score(self, tokens: int, found: list[tuple[int, int, float]]) -> float:
         total = sum(self.excess(s, tokens) for _, _, s in found)
         z = self.weights[0] + self.weights[1] * np.log1p(total)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def word_keys(words: Words) -> np.ndarray:
-    """A hash per distinct word, without the punctuation around it."""
-    unique = [folded(w) for w in words.unique]
-    return pd.util.hash_array(np.array(unique, object), categorize=False) if unique else np.zeros(0, np.uint64)
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     """(text, toxic) of about ``rows`` labelled documents, by a hash of doc_id. A
     document with several labels is toxic if one says so. The chosen labels are
@@ -113,30 +115,41 @@ def held_out() -> Column:
 
 def fit(rows: DataFrame, words: int = WORDS) -> ToxicityModel | None:
     """A model of (text, toxic) rows, a bounded table; None without both labels."""
-    rows = staged(rows)
+    rows = staged(rows.groupBy("text").agg(F.max("toxic").alias("toxic")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            texts: tuple[Counter, Counter] = (Counter(), Counter())
+            tokens: Counter = Counter()
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                counts[toxic > 0].update(w for raw in text.lower().split() if (w := folded(raw)))
-            every = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_pydict({"word": pa.array(every, pa.string()), "clean": pa.array([counts[0][w] for w in every], pa.int64()),
-                                              "toxic": pa.array([counts[1][w] for w in every], pa.int64())})
-
-    counted = rows.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counted = staged(counted)
-    n0, n1 = counted.agg(F.sum("clean"), F.sum("toxic")).first()
-    if not n0 or not n1:
+                words = Counter(w for raw in text.lower().split() if (w := folded(raw)))
+                own: Counter = Counter({"": sum(words.values())})
+                for word, n in words.items():
+                    for feature in features(word):
+                        own[feature] += n
+                texts[toxic > 0].update(own.keys())
+                if toxic <= 0:
+                    tokens.update(own)
+            every = list(texts[0].keys() | texts[1].keys())
+            yield pa.RecordBatch.from_pydict({"feature": pa.array(every, pa.string())} | {
+                k: pa.array([c[w] for w in every], pa.int64()) for k, c in (("clean", texts[0]), ("toxic", texts[1]), ("tokens", tokens))})
+
+    counted = rows.mapInArrow(count, "feature string, clean long, toxic long, tokens long").groupBy("feature").agg(
+        *(F.sum(k).alias(k) for k in ("clean", "toxic", "tokens")))
+    counted = staged(counted.where("clean + toxic >= 3 OR feature = ''"))
+    whole = counted.where("feature = ''").first()
+    if whole is None or not whole["clean"] or not whole["toxic"]:
         return None
-    top = counted.where("clean + toxic >= 3").orderBy(F.desc(F.col("clean") + F.col("toxic")), "word").limit(words).collect()
+    top = counted.where("feature <> ''").orderBy(F.desc(F.col("clean") + F.col("toxic")), "feature").limit(words).collect()
+    n0, n1 = whole["clean"], whole["toxic"]
     y0, y1 = (np.array([r[k] for r in top], float) for k in ("clean", "toxic"))
     prior = PRIOR * (y0 + y1) / (n0 + n1)
     odds = np.log((y1 + prior) / (n1 + PRIOR - y1 - prior)) - np.log((y0 + prior) / (n0 + PRIOR - y0 - prior))
-    clear = np.abs(odds) / np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior)) >= CLEAR
-    keys = pd.util.hash_array(np.array([r["word"] for r in top], object)[clear], categorize=False) if clear.any() else np.zeros(0, np.uint64)
-    model = ToxicityModel(pd.Index(keys), odds[clear], _root(odds[clear], y0[clear] / n0), 1.0, (0.0, 0.0))
-    return _calibrated(model, rows)
+    error = np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior) + 1 / (n1 + PRIOR - y1 - prior) + 1 / (n0 + PRIOR - y0 - prior))
+    clear = np.abs(odds) / error >= CLEAR
+    share = np.array([r["tokens"] for r in top], float)[clear] / max(whole["tokens"], 1)
+    known = {r["feature"]: float(o) for r, o, keep in zip(top, odds, clear) if keep}
+    return _calibrated(ToxicityModel(known, _root(odds[clear], share), 1.0, (0.0, 0.0)), rows)
 
 
 def _root(scores: np.ndarray, share: np.ndarray) -> float:
