@@ -57,10 +57,14 @@ def group_quantiles(df: DataFrame, group: str, number: str, shares: Sequence[flo
 def rank_quantiles(rows: DataFrame, shares: Sequence[float], few_groups: bool) -> DataFrame:
     """Quantiles of ``value`` per ``column``; see the module text."""
     brackets = _brackets(rows, shares)
+    many = "1" if few_groups else "value_rows"
     if few_groups:
         keys, brackets = ["column"], F.broadcast(brackets)
     else:
         keys = ["column", "salt"]
+        # Equal values become one row with a count before any join, so a group that
+        # is mostly one value is small; the rest spreads by value.
+        rows = aggregate(rows, {"value_rows": "count(1)"}, ["column", "value"])
         rows = rows.withColumn("salt", F.expr(f"CAST(pmod(xxhash64(`value`), {SALTS}) AS INT)"))
         brackets = brackets.withColumn("salt", F.expr(f"explode(sequence(0, {SALTS - 1}))"))
     cell = (
@@ -69,14 +73,14 @@ def rank_quantiles(rows: DataFrame, shares: Sequence[float], few_groups: bool) -
         f"CAST(floor((`value` - low) / (high - low) * {CELLS}) AS INT)) END"
     )
     placed = rows.join(brackets, keys).withColumn("cell", F.expr(cell))
-    counts = aggregate(placed, {"cell_rows": "count(1)"},
+    counts = aggregate(placed, {"cell_rows": f"sum({many})"},
                        ["column", "share", "n", "position", "low", "high", "cell"])
     chosen = counts.withColumn("before", F.expr(
         "sum(cell_rows) OVER (PARTITION BY `column`, share ORDER BY cell) - cell_rows"
     )).filter("before <= floor(position) + 1 AND before + cell_rows > floor(position)")
     marks = chosen.selectExpr("`column`", "share", "cell", "before")
     hits = placed.join(F.broadcast(marks) if few_groups else marks, ["column", "share", "cell"])
-    values = aggregate(hits, {"value_rows": "count(1)", "before": "min(before)"},
+    values = aggregate(hits, {"value_rows": f"sum({many})", "before": "min(before)"},
                        ["column", "share", "n", "position", "value"])
     ranked = values.withColumn("upto", F.expr(
         "min(before) OVER (PARTITION BY `column`, share) + "

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions.scalars import aggregate, assign, pick, q
+from tablegauge.sources.staging import staged
 
 ROWS_IN = "__rows_in"
 #: Keys flagged through the broadcast side; the size of that side is fixed by
@@ -58,32 +59,39 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def flag_repeats(df: DataFrame, key: str, out: str, spread_by: Sequence[str]) -> DataFrame:
-    """Add the boolean ``out``: the row's ``key`` occurs on several rows.
-
-    Keys are counted with a map-side combine. The most frequent repeated keys
-    (at most ``HOT_KEYS``, hence the safe broadcast) are matched without a
-    shuffle, and their rows take part in the remaining join under a salt made
-    of ``spread_by``, so they spread evenly. All other repeated keys are
-    matched by an ordinary join that AQE may turn into a broadcast once it
-    knows their size.
+    """Add the boolean ``out``: the row's ``key`` occurs on several rows."""
+    return flag_all_repeats(df, {key: out}, spread_by)
+
+
+def flag_all_repeats(df: DataFrame, marks: Mapping[str, str], spread_by: Sequence[str]) -> DataFrame:
+    """Add, for each (key, name) of ``marks``, the boolean ``name``: the row's key
+    occurs on several rows.
+
+    Every key is counted first, on its own column of ``df`` as it came, with a
+    map-side combine; the repeated ones are written once. Plans therefore grow
+    by one narrow scan per key. The most frequent repeated keys (at most
+    ``HOT_KEYS``, hence the safe broadcast) are matched without a shuffle, and
+    their rows take part in the remaining join under a salt made of
+    ``spread_by``, so they spread evenly. All other repeated keys are matched by
+    an ordinary join, whose large partitions AQE splits.
     """
-    names = df.columns
-    counts = repeated_keys(df, key)
-    hot = counts.orderBy(F.desc("__n"), F.asc("__key")).limit(HOT_KEYS).selectExpr(
-        "__key AS __hot_key", "TRUE AS __hot"
-    )
-    rest = counts.join(F.broadcast(hot), F.expr("__key <=> __hot_key"), "left_anti").selectExpr(
-        "__key AS __rest_key", "0 AS __rest_salt", "TRUE AS __rest"
-    )
+    names = list(df.columns)
+    repeated = {key: staged(repeated_keys(df, key)) for key in marks}
     spread = f"xxhash64({', '.join(q(c) for c in spread_by)})"
-    marked = df.join(F.broadcast(hot), F.expr(f"{q(key)} <=> __hot_key"), "left")
-    marked = assign(marked, {
-        "__salt": f"CASE WHEN __hot THEN CAST(1 + pmod({spread}, {HOT_SPREAD}) AS INT) ELSE 0 END"
-    })
-    marked = marked.join(
-        rest, F.expr(f"{q(key)} <=> __rest_key AND __salt = __rest_salt"), "left"
-    )
-    return assign(
-        pick(marked, [*names, "__hot", "__rest"]),
-        {out: "coalesce(__hot, __rest, FALSE)"}, drop=("__hot", "__rest"),
-    )
+    for key, out in marks.items():
+        counts = repeated[key]
+        hot = counts.orderBy(F.desc("__n"), F.asc("__key")).limit(HOT_KEYS).selectExpr("__key AS __hot_key", "TRUE AS __hot")
+        rest = counts.join(F.broadcast(hot), F.expr("__key <=> __hot_key"), "left_anti").selectExpr(
+            "__key AS __rest_key", "0 AS __rest_salt", "TRUE AS __rest"
+        )
+        df = df.join(F.broadcast(hot), F.expr(f"{q(key)} <=> __hot_key"), "left")
+        df = assign(df, {
+            "__salt": f"CASE WHEN __hot THEN CAST(1 + pmod({spread}, {HOT_SPREAD}) AS INT) ELSE 0 END"
+        })
+        df = df.join(rest, F.expr(f"{q(key)} <=> __rest_key AND __salt = __rest_salt"), "left")
+        df = assign(
+            pick(df, [*names, "__hot", "__rest"]),
+            {out: "coalesce(__hot, __rest, FALSE)"}, drop=("__hot", "__rest"),
+        )
+        names.append(out)
+    return df

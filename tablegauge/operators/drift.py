@@ -6,47 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge import fixed
-from tablegauge.functions.scalars import aggregate, lit
+from tablegauge.functions.scalars import lit
 
 
 def schema_drift(runs: DataFrame, baseline: str) -> DataFrame:
-    """Columns added, removed and retyped in every run against one source.
+    """Columns added, removed and retyped in every run against a baseline.
 
-    Runs are exploded to (source, column) rows and met with the baseline's
-    columns, which are one schema and therefore small. A run without recorded
-    columns is reported as not available.
+    The baseline is the earliest run of that source; every other run is
+    compared, later ones of the same source and unnamed ones too. A run is known
+    by its source and time, and carries the baseline's column list, which is one
+    schema and therefore small, as a scalar: runs are neither joined nor
+    shuffled. A run without recorded columns is reported as not available.
     """
-    base = runs.filter(F.col("dataset_name") == F.lit(baseline)).limit(1)
-    base_columns = base.selectExpr("inline(columns)").selectExpr("name", "dtype AS base_type")
-    known = base.selectExpr("max(columns IS NOT NULL) AS known").scalar()
-    others = runs.filter(F.col("dataset_name") != F.lit(baseline)).withColumn("__known", known)
-    theirs = others.filter("columns IS NOT NULL AND __known").selectExpr(
-        "dataset_name AS source", "inline(columns)").selectExpr("source", "name", "dtype AS new_type")
-    shared = theirs.join(F.broadcast(base_columns), "name", "left").selectExpr(
-        "source", "name", "base_type", "new_type")
-    # Baseline columns a source lacks: every source name with the baseline's
-    # column list on the row, less its own list.
-    lost = others.filter("columns IS NOT NULL AND __known").withColumn(
-        "__base", base.selectExpr("max(transform(columns, c -> c.name))").scalar()
-    ).selectExpr(
-        "dataset_name AS source", "explode(array_except(__base, transform(columns, c -> c.name))) AS name",
-    ).join(F.broadcast(base_columns), "name").selectExpr(
-        "source", "name", "base_type", "CAST(NULL AS STRING) AS new_type")
-    marked = shared.unionByName(lost)
-    found = aggregate(marked, {
-        "added": "sort_array(collect_list(CASE WHEN base_type IS NULL THEN name END))",
-        "removed": "sort_array(collect_list(CASE WHEN new_type IS NULL THEN name END))",
-        "type_changed": "sort_array(collect_list(CASE WHEN base_type <> new_type THEN "
-                        "named_struct('column', name, 'from', base_type, 'to', new_type) END))",
-        "n_stable": "count_if(base_type = new_type)",
-    }, ["source"])
-    sources = others.selectExpr("dataset_name AS source", "columns IS NOT NULL AND __known AS available")
-    return sources.join(found, "source", "left").selectExpr(
-        "source", f"{lit(baseline)} AS baseline", "coalesce(available, FALSE) AS available",
-        "added", "removed", "type_changed", "n_stable",
-        "size(added) + size(removed) + size(type_changed) > 0 AS has_drift")
-
-
+    first = runs.filter(F.col("dataset_name") == F.lit(baseline)).selectExpr(
+        "min_by(struct(created_at, columns), created_at) AS b").scalar()
+    both = runs.withColumn("__b", first).filter(
+        f"NOT (dataset_name <=> {lit(baseline)} AND created_at <=> __b.created_at)")
+    names, base = "transform(columns, c -> c.name)", "transform(__b.columns, c -> c.name)"
+    theirs, ours = "map_from_entries(transform(columns, c -> struct(c.name, c.dtype)))", \
+        "map_from_entries(transform(__b.columns, c -> struct(c.name, c.dtype)))"
+    compared = both.selectExpr(
+        "dataset_name AS source", "created_at", f"{lit(baseline)} AS baseline",
+        "columns IS NOT NULL AND __b.columns IS NOT NULL AS available",
+        f"array_sort(array_except({names}, {base})) AS added", f"array_sort(array_except({base}, {names})) AS removed",
+        f"array_sort(array_intersect({names}, {base})) AS __shared", f"{theirs} AS __theirs", f"{ours} AS __ours")
+    changed = "filter(__shared, n -> __theirs[n] <> __ours[n])"
+    found = compared.selectExpr(
+        "source", "created_at", "baseline", "coalesce(available, FALSE) AS available", "added", "removed",
+        f"transform({changed}, n -> named_struct('column', n, 'from', __ours[n], 'to', __theirs[n])) AS type_changed",
+        "CAST(size(filter(__shared, n -> __theirs[n] = __ours[n])) AS BIGINT) AS n_stable")
+    whole = [c if c in ("source", "created_at", "baseline", "available") else f"CASE WHEN available THEN {c} END AS {c}"
+             for c in found.columns]
+    return found.selectExpr(*whole).withColumn(
+        "has_drift", F.expr("size(added) + size(removed) + size(type_changed) > 0"))
 
 
 def drift_summary(drift: DataFrame) -> DataFrame:

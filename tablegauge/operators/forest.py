@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions.quantiles import quantile_row
 from tablegauge.functions.scalars import aggregate, assign, one_row, q, to_number, types_of
+from tablegauge.sources.staging import staged
 
 RAW = "__isolation_raw"
 LIMITS = "__isolation_limits"
@@ -136,12 +137,20 @@ class ForestModel:
     def score(
         self, df: DataFrame, out: str = "isolation_score", numbers: DataFrame | None = None
     ) -> DataFrame:
-        """Add the score scaled to 0..100 by the table's own extremes, which
-        come from ``numbers`` (the same rows, number columns only) if given."""
+        """Add the score scaled to 0..100 by the table's own extremes.
+
+        Rows walk the forest once: their raw scores are written, and the extremes
+        read from there. With ``numbers`` (the same rows, number columns only)
+        the extremes come from a walk over those, and ``df`` stays lazy.
+        """
         if self.trees is None:
             return assign(df, {out: "0.0D"})
-        scored = self.raw(df)
-        limits = aggregate(self.raw(df if numbers is None else numbers), {"low": f"min({RAW})", "high": f"max({RAW})"})
+        if numbers is None:
+            scored = staged(self.raw(df))
+            limits = aggregate(scored, {"low": f"min({RAW})", "high": f"max({RAW})"})
+        else:
+            scored = self.raw(df)
+            limits = aggregate(self.raw(numbers), {"low": f"min({RAW})", "high": f"max({RAW})"})
         scored = scored.withColumn(LIMITS, one_row(limits))
         spread = f"({LIMITS}.high - {LIMITS}.low)"
         scaled = f"rint(1000.0D * ({RAW} - {LIMITS}.low) / {spread}) / 10.0D"
@@ -182,6 +191,8 @@ class IsolationForest:
             return grown.assign(tree=tree)[["tree", "node", "feature", "cut", "length"]]
 
         nodes = sample.groupBy("tree").applyInPandas(train, NODE_SCHEMA).toPandas()
+        if nodes["tree"].nunique() < self.trees:
+            raise ValueError("a tree got no rows: too few rows differ in key or numbers")
         nodes = nodes.sort_values(["tree", "node"])
         shape = (nodes["tree"].nunique(), -1)
         grown = Trees(*[nodes[c].to_numpy().reshape(shape) for c in ("feature", "cut", "length")], limit)
@@ -193,23 +204,21 @@ class IsolationForest:
     ) -> DataFrame:
         """``tree, values`` with at most ``sample_size`` random rows per tree.
 
-        Everything is decided by hashes of the row key, in parallel: a first
-        one thins the table to a few rows per wanted row, a second one assigns
-        a row to a tree (or, in a small table, to several), and each tree keeps
-        its rows of lowest hash.
+        Everything is decided by hashes of the row key and the numbers, in
+        parallel and alike at every size. A first hash thins the table to the
+        pool (the whole table, where that is no larger); for every tree, a second
+        one keeps a few pool rows per wanted row, of which the tree takes those of
+        lowest hash. Rows that agree in key and numbers are the same point.
         """
         spare = 4 * self.sample_size
-        hashed = f"xxhash64({', '.join(q(c) for c in row_key)}, {self.seed})"
+        wanted = self.trees * spare
         df, values = with_numbers(df, names, medians)
+        hashed = f"xxhash64({', '.join([*(q(c) for c in row_key), *values])}, {self.seed})"
         pool = df.selectExpr(f"{hashed} AS __hash", f"array({', '.join(values)}) AS `values`")
-        if rows > self.trees * spare:
-            pool = pool.filter(f"pmod(__hash, {rows}) < {self.trees * spare}")
-            drawn = pool.selectExpr(
-                f"CAST(pmod(xxhash64(__hash), {self.trees}) AS INT) AS tree", "`values`", "__hash AS __order")
-        else:
-            drawn = pool.selectExpr("`values`", "__hash", f"explode(sequence(0, {self.trees - 1})) AS tree")
-            drawn = drawn.selectExpr("tree", "`values`", "xxhash64(__hash, tree) AS __order").filter(
-                f"pmod(__order, {rows}) < {spare}")
+        pool = pool.filter(f"pmod(__hash, {rows}) < {wanted}")
+        drawn = pool.selectExpr("`values`", "__hash", f"explode(sequence(0, {self.trees - 1})) AS tree")
+        drawn = drawn.selectExpr("tree", "`values`", "xxhash64(__hash, tree) AS __order").filter(
+            f"pmod(__order, {min(rows, wanted)}) < {spare}")
         return drawn.withColumn("__place", F.expr(
             "row_number() OVER (PARTITION BY tree ORDER BY __order)"
         )).filter(f"__place <= {self.sample_size}")

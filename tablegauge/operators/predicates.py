@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tablegauge import fixed
 from tablegauge.config import Roles
 from tablegauge.functions.scalars import (
-    holds, is_number, lit, pick, q, strip, text, to_date, to_number, types_of, words,
+    aggregate, holds, is_number, lit, pick, q, strip, text, to_date, to_number, types_of, words,
 )
 from tablegauge.operators.dedup import flag_repeats
 from tablegauge.operators.profile import has_missing
+from tablegauge.sources.staging import staged
 
 
 class PlanError(ValueError):
@@ -124,8 +125,8 @@ class Conditions:
         return self._date(column, f"<= try_cast({lit(day)} AS DATE)")
 
     def date_between(self, column: str, first: str, second: str) -> Column:
-        low, high = sorted((first, second))
-        return self._date(column, f"BETWEEN try_cast({lit(low)} AS DATE) AND try_cast({lit(high)} AS DATE)")
+        days = ", ".join(f"try_cast({lit(day)} AS DATE)" for day in (first, second))
+        return self._date(column, f"BETWEEN least({days}) AND greatest({days})")
 
     def in_month(self, column: str, year: int, month: int) -> Column:
         """A whole month, as a range on the date rather than on its parts."""
@@ -273,8 +274,20 @@ def sort_by_hint(df: DataFrame, hint: str, tie: Sequence[str]) -> DataFrame:
 
 
 def row_at(df: DataFrame, column: str, ascending: bool, tie: Sequence[str], k: int) -> DataFrame:
-    """Row number ``k`` (from 0) of the sorted table."""
-    return sort_rows(df, column, ascending, tie).offset(k).limit(1)
+    """Row number ``k`` (from 0) of the sorted table.
+
+    Rows are range-partitioned by the order and written; the sizes of the parts
+    say which part holds the rank, and only that part is ranked.
+    """
+    order = [F.col(q(column)).asc() if ascending else F.col(q(column)).desc(), *[F.col(q(c)).asc() for c in tie]]
+    parts = staged(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = aggregate(parts, {"n": "count(1)"}, ["__part"]).selectExpr(
+        "__part", "sum(n) OVER (ORDER BY __part) - n AS before", "n")
+    chosen = sizes.filter(f"before <= {int(k)} AND before + n > {int(k)}").selectExpr("__part", f"{int(k)} - before AS skip").first()
+    if chosen is None:
+        return df.limit(0)
+    here = parts.filter(F.col("__part") == chosen["__part"]).drop("__part")
+    return here.orderBy(*order).offset(chosen["skip"]).limit(1)
 
 
 def business_columns(df: DataFrame, keep_scores: bool = True, added: Sequence[str] | None = None) -> list[str]:

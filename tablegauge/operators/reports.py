@@ -48,8 +48,9 @@ def top_groups(df: DataFrame, group: str, n: int, by: str = "score", metric: str
 def group_aggregate(df: DataFrame, group: str, function: str, column: str) -> DataFrame:
     """``value, result`` with a declared aggregate of ``column`` per group."""
     if function == "median":
-        found = group_quantiles(df, text(q(group)), q(column), (0.5,))
-        return found.selectExpr("`group` AS `value`", "`value` AS result")
+        found = group_quantiles(df, text(q(group)), q(column), (0.5,)).selectExpr("`group` AS __group", "`value` AS result")
+        every = aggregate(df.selectExpr(f"{text(q(group))} AS `value`"), {"__n": "count(1)"}, ["value"])
+        return every.join(found, F.expr("`value` <=> __group"), "left").select("value", "result")
     if function not in AGGREGATES:
         raise ValueError(f"unknown aggregate: {function!r}")
     keyed = df.selectExpr(f"{text(q(group))} AS `value`", f"{q(column)} AS __x")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tablegauge import fixed
 from tablegauge.functions.scalars import aggregate, half_even, lit, q, types_of
+from tablegauge.operators.dedup import ROWS_IN, keep_first
 from tablegauge.operators.predicates import source_columns
 from tablegauge.operators.score import OVERALL, Scored, dimension_mean, mean_tenths
 
@@ -102,9 +103,10 @@ def run_signature(df: DataFrame) -> DataFrame:
     })
 
 
-def unique_runs(runs: DataFrame) -> DataFrame:
-    """One row per (signature, time)."""
-    return runs.dropDuplicates(["dataset_signature", "created_at"])
+def unique_runs(runs: DataFrame, order_by: Sequence[str] = ("run_id", "dataset_name", "row_count")) -> DataFrame:
+    """One row per (signature, time): the first by those of ``order_by`` that exist."""
+    order = [c for c in order_by if c in runs.columns]
+    return keep_first(runs, ["dataset_signature", "created_at"], order).drop(ROWS_IN)
 
 
 def signature_count(runs: DataFrame) -> DataFrame:

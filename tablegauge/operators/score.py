@@ -15,7 +15,7 @@ from tablegauge.functions.scalars import (
 )
 from tablegauge.operators import rules as R
 from tablegauge.operators.clean import PARSED, visible
-from tablegauge.operators.dedup import flag_repeats
+from tablegauge.operators.dedup import flag_all_repeats, flag_repeats
 from tablegauge.operators.rules import Rule
 
 OVERALL = "__overall"
@@ -211,8 +211,9 @@ def score_table(
     consistency = general_consistency(df, roles, config)
     df, validity = general_validity(df, roles)
     uniqueness: list[Rule] = []
-    for c in [c for c in roles.ids[:2] if c in df.columns]:
-        df = flag_repeats(df, c, REPEATED + c, order_by)
+    marks = {c: REPEATED + c for c in roles.ids[:2] if c in df.columns}
+    df = flag_all_repeats(df, marks, order_by)
+    for c in marks:
         uniqueness.append(Rule("uniqueness", q(REPEATED + c), 50.0 / min(len(roles.ids), 2)))
     rules = validity + accuracy + completeness + consistency + uniqueness
     df, rules = R.evaluate(df, rules + list(extra))

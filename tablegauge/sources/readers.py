@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 from tablegauge import fixed
 from tablegauge.functions.scalars import NUMBER, aggregate, assign, lit, q, words
 
-WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
+#: Text that is a whole number; it is one only if a bigint can hold it.
+WHOLE = r"^\s*[+-]?\d+\s*$"
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
@@ -50,27 +50,34 @@ def null_tokens(df: DataFrame) -> DataFrame:
     return assign(df, {c: f"CASE WHEN {q(c)} NOT IN {listed} THEN {q(c)} END" for c in df.columns})
 
 
-def read_csv_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return spark.read.option("header", True).option("escape", '"').option("multiLine", False).csv(path)
+def read_csv_text(spark: SparkSession, path: str | Sequence[str], line_breaks: bool = True) -> DataFrame:
+    """``line_breaks``: values in quotes may hold some. Then a file is one task;
+    switch it off where there are none and files are large."""
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks).csv(path)
 
 
 def type_columns(df: DataFrame) -> DataFrame:
     """Give text columns the narrowest of bigint, double, boolean, text.
 
     One aggregate over the whole table decides; a column that is entirely
-    missing becomes a number, as a CSV reader would have it.
+    missing becomes a number, as a CSV reader would have it. Whole numbers that
+    no bigint can hold stay text: a double would merge neighbouring ids.
     """
     out: dict[str, str] = {}
     for c in df.columns:
-        out[f"whole_{c}"] = f"bool_and({q(c)} RLIKE {lit(WHOLE)})"
+        out[f"whole_{c}"] = f"bool_and({q(c)} RLIKE {lit(WHOLE)} AND try_cast(trim({q(c)}) AS BIGINT) IS NOT NULL)"
+        out[f"long_{c}"] = (
+            f"bool_or({q(c)} RLIKE {lit(WHOLE)} AND abs(try_cast({q(c)} AS DOUBLE)) >= 9007199254740992D)")
         out[f"number_{c}"] = f"bool_and({q(c)} RLIKE {lit(NUMBER)})"
         out[f"boolean_{c}"] = f"bool_and({q(c)} IN ('True', 'False', 'TRUE', 'FALSE', 'true', 'false'))"
         out[f"gaps_{c}"] = f"count_if({q(c)} IS NULL)"
     row = aggregate(df, out).first().asDict()
     exprs: dict[str, str] = {}
     for c in df.columns:
-        if row[f"whole_{c}"] and row[f"gaps_{c}"] == 0:
-            exprs[c] = f"try_cast({q(c)} AS BIGINT)"
+        if row[f"whole_{c}"] and (row[f"gaps_{c}"] == 0 or row[f"long_{c}"]):
+            exprs[c] = f"try_cast(trim({q(c)}) AS BIGINT)"
+        elif row[f"long_{c}"]:
+            continue
         elif row[f"number_{c}"] or row[f"number_{c}"] is None:
             exprs[c] = f"try_cast({q(c)} AS DOUBLE)"
         elif row[f"boolean_{c}"] and row[f"gaps_{c}"] == 0:
@@ -78,9 +85,9 @@ def type_columns(df: DataFrame) -> DataFrame:
     return assign(df, exprs)
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | Sequence[str], line_breaks: bool = True) -> DataFrame:
     """A CSV file with a header: null words to null, then typed columns."""
-    return type_columns(null_tokens(read_csv_text(spark, path)))
+    return type_columns(null_tokens(read_csv_text(spark, path, line_breaks)))
 
 
 @dataclass(frozen=True)
@@ -106,10 +113,6 @@ def read_sources(spark: SparkSession, paths: Mapping[str, str]) -> Sources:
     return Sources(tables, failed)
 
 
-def source_name(path: str) -> str:
-    return os.path.basename(path.rstrip("/"))
-
-
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     """Union of tables with the same columns, in any order."""
     out = parts[0]

@@ -72,7 +72,7 @@ def test_plan(table):
                            "sort_dir": "desc", "limit": 2}, ROLES, ["id"])
     assert [r["id"] for r in out.rows.collect()] == [1, 4] and out.count().first()["n"] == 3
     med = run_plan(table, {"intent": "aggregate", "group_by": "grade", "aggregate": "median", "agg_column": "amount"}, ROLES)
-    assert {r["value"]: r["result"] for r in med.rows.collect()} == {"A": 10.0, "B": 30.0, "D": -2.0}
+    assert {r["value"]: r["result"] for r in med.rows.collect()} == {"A": 10.0, "B": 30.0, "C": None, "D": -2.0}
 
 
 def test_business_columns(spark):
