@@ -286,8 +286,9 @@ def _(x):
 
 for _bins in (10, 20, 25, 40):
     def _histogram(bins):
-        @query(f"g7_histogram_{bins}", f"""SELECT bin, (bin - 1) * {100 / bins}e0 AS bin_start, count(*) AS n FROM
-            (SELECT CAST(least({bins}, 1 + floor(dq_score / 100e0 * {bins})) AS INTEGER) AS bin FROM f_score)
+        @query(f"g7_histogram_{bins}", f"""SELECT bin, (bin - 1) * {100 / bins}e0 AS bin_start, count(dq_score) AS n FROM
+            (SELECT CAST(unnest(range(1, {bins} + 1)) AS INTEGER) AS bin) LEFT JOIN
+            (SELECT dq_score, CAST(least({bins}, 1 + floor(dq_score / 100e0 * {bins})) AS INTEGER) AS bin FROM f_score) USING (bin)
             GROUP BY bin""")
         def _(x):
             return G.histogram(x.f_rows, "dq_score", bins)

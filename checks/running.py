@@ -205,6 +205,40 @@ def _(x):
     return report.selectExpr("source", "available", "size(added) AS added", "size(removed) AS removed")
 
 
+def _described(table):
+    return f"(SELECT column_name FROM (DESCRIBE {table}))"
+
+
+@query("m8_drift_every_run", " UNION ALL ".join(f"""SELECT {name} AS source, '{at}' AS created_at,
+    CAST((SELECT count(*) FROM {_described(table)} WHERE column_name NOT IN {_described('customer')}) AS INTEGER) AS added,
+    CAST((SELECT count(*) FROM {_described('customer')} WHERE column_name NOT IN {_described(table)}) AS INTEGER) AS removed,
+    (SELECT count(*) FROM {_described(table)} WHERE column_name IN {_described('customer')}) AS n_stable"""
+    for name, table, at in (("'customer'", "customer", "2024-01-02"), ("'part'", "part", "2024-01-01"), ("'part'", "part", "2024-01-02"),
+                            ("CAST(NULL AS VARCHAR)", "customer", "2024-01-03"))))
+def _(x):
+    """Two runs of a source, a later one of the baseline and an unnamed one; tables as they are."""
+    parts = []
+    for name, table, at in (("customer", "customer", "2024-01-01"), ("customer", "customer", "2024-01-02"), ("part", "part", "2024-01-01"),
+                            ("part", "part", "2024-01-02"), (None, "customer", "2024-01-03")):
+        df = x.table(table)
+        shape = ", ".join(f"named_struct('name', '{c}', 'dtype', '{t}')" for c, t in df.dtypes)
+        parts.append(df.selectExpr("count(1) AS row_count").selectExpr(
+            f"{'CAST(NULL AS STRING)' if name is None else text(name)} AS dataset_name", f"'{at}' AS created_at", f"array({shape}) AS columns"))
+    drift = D.schema_drift(readers.union_all(parts), "customer")
+    return drift.selectExpr("source", "created_at", "size(added) AS added", "size(removed) AS removed", "n_stable")
+
+
+@query("s3_csv_round_trip", """SELECT o_orderkey + 1234567890123456789 AS long_id, 'a "quoted"' || chr(10) || 'line, ' || o_clerk AS note,
+    CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 1234567890123456789 END AS some_id FROM (SELECT *, 'clerk' || o_custkey AS o_clerk FROM orders)""")
+def _(x):
+    """Line breaks and quotes in values, and neighbouring ids of 19 digits, with gaps too."""
+    path = x.scratch("notes")
+    writers.write_csv(x.table("orders").selectExpr(
+        "o_orderkey + 1234567890123456789 AS long_id", """concat('a "quoted"', chr(10), 'line, clerk', o_custkey) AS note""",
+        "CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 1234567890123456789 END AS some_id"), path)
+    return readers.read_csv(x.spark, path)
+
+
 @query("m9_source_comparison", f"""SELECT 'invoices' AS source, count(*) AS "rows", {half(mean_tenths('overall'))} AS overall_dq,
       count(*) FILTER (WHERE dq_severity = 'CRITICAL') AS critical,
       {', '.join(f"{half('avg(x_' + d + ')')} AS {d}" for d in DIMS)} FROM f_score
@@ -324,6 +358,19 @@ def _(x):
     return V.cleaned_export(x.f_rows, decision).select("invoice_id", "dq_score")
 
 
+@query("m20_cleaned_export_by_policy", " UNION ALL ".join(f"""SELECT CAST({limit}e0 AS DOUBLE) AS limit_pct, CASE WHEN
+    100e0 * count(*) FILTER (WHERE dq_severity = 'CRITICAL') / count(*) > {limit} THEN 0 ELSE count(*) END AS exported
+    FROM f_score""" for limit in (1, 100)))
+def _(x):
+    """The same run under a policy that blocks it and under one that does not."""
+    run = M.build_runs(x.f.scored, "'invoices'", "'2024-01-01T00:00:00'")
+    parts = []
+    for limit in (1.0, 100.0):
+        decision = V.decide(V.with_gates(run, Policy({"max_critical_pct": limit})))
+        parts.append(V.cleaned_export(x.f_rows, decision).selectExpr(f"{limit}D AS limit_pct", "count(1) AS exported"))
+    return readers.union_all(parts)
+
+
 @query("m20_cleaned_export_allowed", "SELECT invoice_id, dq_score FROM f_score")
 def _(x):
     run = M.build_runs(x.f.scored, "'invoices'", "'2024-01-01T00:00:00'")
@@ -331,10 +378,10 @@ def _(x):
     return V.cleaned_export(x.f_rows, decision).select("invoice_id", "dq_score")
 
 
-@query("m21_multi_source_runs", """SELECT 'customer' AS dataset_name, count(*) AS row_count FROM customer
-    UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'part', count(*) FROM part""")
+@query("m21_multi_source_runs", """SELECT 'customer' AS dataset_name, count(*) AS row_count, TRUE AS scored FROM customer
+    UNION ALL SELECT 'supplier', count(*), TRUE FROM supplier UNION ALL SELECT 'part', count(*), TRUE FROM part""")
 def _(x):
-    return x.source_runs.select("dataset_name", "row_count")
+    return x.source_runs.selectExpr("dataset_name", "row_count", "overall_dq_score BETWEEN 0 AND 100 AS scored")
 
 
 @query("m22_batch_run", f"SELECT {cols(CLEAN_F)}, {cols(SCORES)} FROM f_score")

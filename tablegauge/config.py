@@ -22,7 +22,7 @@ class CleanConfig:
     max_amount: float = 10_000_000.0
     outlier_threshold: float = 3.0
     duplicate_keys: tuple[str, ...] = ()
-    date_formats: tuple[str, ...] = ("yyyy-MM-dd",)
+    date_formats: tuple[str, ...] = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
     #: count a custom ``fill_text`` as a placeholder when scoring completeness
     fill_is_placeholder: bool = False
 

@@ -23,6 +23,9 @@ WHITESPACE = " \t\n\r\x0b\x0c" + "".join(
 )
 NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
+#: Date patterns with a time of day, and what stands between date and time.
+ISO_TIMES = {"yyyy-MM-dd HH:mm:ss": " ", "yyyy-MM-dd'T'HH:mm:ss": "T"}
+
 FLOAT_TYPES = (T.FloatType, T.DoubleType)
 INTEGER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 TIME_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -160,6 +163,9 @@ def to_date(name: str, kind: T.DataType, formats: Sequence[str]) -> str:
 def _parse_date(e: str, pattern: str) -> str:
     """One pattern. Fixed-width year, month and day are cut out and cast, which
     is much cheaper than a formatter that throws on every bad value."""
+    if pattern in ISO_TIMES:
+        shape = f"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{ISO_TIMES[pattern]}[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}([.][0-9]+)?$"
+        return f"CASE WHEN {e} RLIKE {lit(shape)} THEN CAST(try_cast({e} AS TIMESTAMP_NTZ) AS DATE) END"
     if sorted(re.findall(r"[A-Za-z]+", pattern)) != ["MM", "dd", "yyyy"]:
         return f"try_to_date({e}, {lit(pattern)})"
     shape = "^" + re.sub(r"yyyy|MM|dd", lambda m: f"[0-9]{{{len(m[0])}}}", re.escape(pattern)) + "$"

@@ -76,10 +76,12 @@ def grade_counts(df: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int, low: float = 0, high: float = 100) -> DataFrame:
-    """Rows per equal-width bin; bins without rows are left out."""
-    binned = df.selectExpr(f"{bucket(q(column), low, high, bins)} AS bin").filter("bin IS NOT NULL")
-    return aggregate(binned, {"n": "count(1)"}, ["bin"]).selectExpr(
-        "bin", f"{lit(float(low))} + (bin - 1) * {lit((high - low) / bins)} AS bin_start", "n")
+    """Rows per equal-width bin, 0 where there are none."""
+    binned = df.selectExpr(f"CAST({bucket(q(column), low, high, bins)} AS INT) AS bin").filter("bin IS NOT NULL")
+    counted = aggregate(binned, {"n": "count(1)"}, ["bin"])
+    every = df.sparkSession.range(1, bins + 1).selectExpr("CAST(id AS INT) AS bin")
+    return every.join(F.broadcast(counted), "bin", "left").selectExpr(
+        "bin", f"{lit(float(low))} + (bin - 1) * {lit((high - low) / bins)} AS bin_start", "coalesce(n, 0) AS n")
 
 
 def dimension_means(df: DataFrame) -> DataFrame:

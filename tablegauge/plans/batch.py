@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +15,8 @@ from tablegauge.operators.runs import build_runs
 from tablegauge.operators.score import Scored, score_invoices, score_table
 from tablegauge.functions.scalars import lit
 from tablegauge.sources.readers import union_all
-from tablegauge.sources.writers import append_log, log_row, write_csv
+from tablegauge.sources.staging import shared_folder
+from tablegauge.sources.writers import append_log, log_row, write_csv, write_table
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,13 @@ class Assessment:
     def rows(self) -> DataFrame:
         return self.scored.rows()
 
+    def publish(self, path: str) -> Assessment:
+        """Write the scored rows with their counters once, and return the
+        assessment that reads them: every report then starts from there."""
+        self.scored.frame.write.mode("overwrite").parquet(path)
+        stored = self.scored.frame.sparkSession.read.schema(self.scored.frame.schema).parquet(path)
+        return Assessment(replace(self.cleaned, frame=stored), replace(self.scored, frame=stored), self.roles)
+
     def run_row(self, name: str, created_at: str) -> DataFrame:
         return build_runs(self.scored, lit(name), lit(created_at))
 
@@ -65,20 +74,18 @@ def run_batch(
     config: InvoiceConfig = InvoiceConfig(), source_table: str = "invoices",
     cleaned_table: str = "invoices_cleaned",
 ) -> DataFrame:
-    """Clean, score, write the table and its CSV extract, append the audit row.
+    """Clean, score, replace the cleaned table, write its CSV extract, append the
+    audit row.
 
-    The table is written once with its counters; the extract and both
-    statistics rows read it back, so cleaning runs a single time and a lost
-    executor costs its own tasks only. Returns the written rows.
+    Rows and counters are written once below the shared folder; the table, the
+    extract and both statistics rows read them back, so cleaning runs a single
+    time and a lost executor costs its own tasks only. The table is one of the
+    catalog, stored in ``folder``, and holds the visible columns. Returns it.
     """
-    done = assess_invoices(df, order_by, config)
+    done = assess_invoices(df, order_by, config).publish(f"{shared_folder(spark)}/batch-{uuid.uuid4().hex}")
     written = f"{folder.rstrip('/')}/{cleaned_table}"
-    done.scored.frame.write.mode("overwrite").parquet(written)
-    stored = spark.read.parquet(written)
-    scored = Scored(stored, True)
-    cleaned = Cleaned(stored, done.cleaned.added, done.cleaned.dates, done.cleaned.numerics,
-                      done.cleaned.categories, True)
-    write_csv(scored.rows(), f"{written}_csv")
-    append_log(log_row(cleaned.stats(), scored.stats(), timestamp, source_table, cleaned_table),
+    write_table(done.rows(), cleaned_table, written)
+    write_csv(done.rows(), f"{written}_csv")
+    append_log(log_row(done.cleaned.stats(), done.scored.stats(), timestamp, source_table, cleaned_table),
                f"{folder.rstrip('/')}/run_log")
-    return scored.rows()
+    return spark.read.table(cleaned_table)

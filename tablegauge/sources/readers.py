@@ -65,7 +65,9 @@ def type_columns(df: DataFrame) -> DataFrame:
     """
     out: dict[str, str] = {}
     for c in df.columns:
-        out[f"whole_{c}"] = f"bool_and({q(c)} RLIKE {lit(WHOLE)} AND try_cast(trim({q(c)}) AS BIGINT) IS NOT NULL)"
+        out[f"whole_{c}"] = (
+            f"bool_and(CASE WHEN {q(c)} IS NOT NULL THEN {q(c)} RLIKE {lit(WHOLE)} "
+            f"AND try_cast(trim({q(c)}) AS BIGINT) IS NOT NULL END)")
         out[f"long_{c}"] = (
             f"bool_or({q(c)} RLIKE {lit(WHOLE)} AND abs(try_cast({q(c)} AS DOUBLE)) >= 9007199254740992D)")
         out[f"number_{c}"] = f"bool_and({q(c)} RLIKE {lit(NUMBER)})"
