@@ -65,12 +65,13 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_pii, op2_pack, op3_secrets, op4_shards, op5_near, op6_toxicity, op7_binary, op8_decontaminate, op9_neighbours, op10_language)}
 
-#: Rows that take part in a search, as DuckDB SQL.
+# --- DuckDB SQL; op1, op2, op5, op6, op7, op8 and op10 are tested against plain versions ---
+
+#: Rows that take part in a search.
 _USABLE = """vec_id IS NOT NULL AND len(embedding) > 0
   AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
 
-ORACLES: dict[str, str] = {
-    "op9_neighbours": f"""
+_NEAREST = f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {_USABLE}),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
@@ -78,5 +79,62 @@ scored AS (
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM scored)
-WHERE rank <= 10""",
-}
+WHERE rank <= 10"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _matches(number: int, rule: secrets.Rule) -> str:
+    """Rows of one rule's matches: where they start follows from the lengths of
+    what lies between matches and of the matches before."""
+    pattern = _quoted(rule.pattern)
+    return f"""SELECT doc_id, {number} AS number, '{rule.kind}' AS kind, start, start + length(m[k]) AS stop FROM (
+      SELECT doc_id, k, m, v, list_sum(list_transform(g[1:k], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS start
+      FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (
+        SELECT doc_id, regexp_split_to_array(text, {pattern}) AS g, regexp_extract_all(text, {pattern}, 0) AS m,
+               regexp_extract_all(text, {pattern}, {rule.group}) AS v FROM documents WHERE text IS NOT NULL)))
+    WHERE length(v[k]) >= {rule.least}"""
+
+
+_LISTED = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number)"
+_SECRETS = f"""
+WITH found AS ({" UNION ALL ".join(_matches(i, r) for i, r in enumerate(secrets.RULES))}),
+listed AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)},
+  {_LISTED} FILTER (WHERE number < {len(secrets.BASE)}) AS base, {_LISTED} AS spans FROM found GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN listed USING (doc_id)"""
+
+
+def _round(i: int, source: str) -> str:
+    """One round of the network over rows (number, l, r, total, a, b)."""
+    multiplier, addend = sharding.ROUNDS[i]
+    half, other, size = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+    stirred = f"(({other} * {multiplier} + {addend}) % {sharding.PRIME})"
+    moved = f"({half} + ({stirred} * {stirred}) % {sharding.PRIME}) % {size}"
+    left, right = (moved, "r") if half == "l" else ("l", moved)
+    return f"(SELECT number, {left} AS l, {right} AS r, total, a, b FROM {source})"
+
+
+_network = "(SELECT number, n // b AS l, n % b AS r, total, a, b FROM walk WHERE NOT done)"
+for _i in range(len(sharding.ROUNDS)):
+    _network = _round(_i, _network)
+
+_SHARDS = f"""
+WITH RECURSIVE shape AS (SELECT total, a, CAST(ceil(total / a) AS BIGINT) AS b FROM (
+  SELECT count(*) AS total, greatest(1, CAST(ceil(sqrt(count(*))) AS BIGINT)) AS a FROM documents)),
+numbered AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS number, doc_id, encode(coalesce(text, '')) AS bytes FROM documents),
+walk AS (SELECT number, number AS n, FALSE AS done, total, a, b FROM numbered, shape
+  UNION ALL SELECT number, l * b + r AS n, l * b + r < total AS done, total, a, b FROM {_network}),
+bits AS (SELECT i AS x, i, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, i, k + 1 FROM bits WHERE k < 8),
+steps AS (SELECT list(x ORDER BY i) AS step FROM bits WHERE k = 8),
+summed AS (SELECT number, doc_id, octet_length(bytes) + 1 AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(regexp_extract_all(hex(bytes), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+    lambda c, x: xor(c // 256, step[xor(c % 256, x) + 1])), 4294967295) AS text_crc32 FROM numbered, steps)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(n % {sharding.SHARDS} AS INTEGER) AS shard, n // {sharding.SHARDS} AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard FROM summed JOIN (SELECT number, n FROM walk WHERE done) USING (number)"""
+
+ORACLES: dict[str, str] = {"op3_secrets": _SECRETS, "op4_shards": _SHARDS, "op9_neighbours": _NEAREST}
