@@ -40,11 +40,14 @@ def ruled(rule: Column) -> Column:
 
 def sampled(rows: DataFrame, by: Sequence[str], bound: int) -> DataFrame:
     """About ``bound`` of the rows, chosen by a hash of ``by`` (all of them, if
-    there are fewer); the choice does not depend on layout or partitions."""
+    there are fewer); the choice does not depend on layout or partitions. Rows equal
+    in ``by`` are chosen together; where none is, all rows are few different ones
+    and are taken."""
     total = rows.count()
     if total <= bound:
         return rows
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), *by), F.lit(total)) < bound)
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), *by), F.lit(total)) < bound)
+    return rows if chosen.isEmpty() else chosen
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

@@ -112,12 +112,12 @@ class LanguageModel:
 def fit(labelled: DataFrame, rows: int = 2000, words: int = 300_000, parts: int = 300_000) -> LanguageModel:
     """A model of the (text, lang) rows of ``labelled``.
 
-    ``rows`` bounds the rows learnt from (chosen by a hash of doc_id), ``words``
+    ``rows`` bounds the rows learnt from (chosen by a hash of doc_id and text), ``words``
     and ``parts`` the words and n-grams that the model keeps, most frequent
     first. Null languages and texts teach nothing; a tie between languages goes
     to the first in order.
     """
-    usable = sampled(labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang"), ["doc_id"], rows)
+    usable = sampled(labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang"), ["doc_id", "text"], rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.llm.common import sliced, staged
+from tablegauge.llm.common import sampled, sliced, staged
 from tablegauge.llm.tagger import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
@@ -128,8 +128,7 @@ def train(docs: DataFrame, documents: int = DOCUMENTS, windows: int = WINDOWS) -
     ``documents`` and ``windows`` bound what is sampled (by hashes) and collected:
     windows with a span, and as many without.
     """
-    total = docs.count()
-    rows = docs.where(F.pmod(F.xxhash64(F.lit("pii"), "text"), F.lit(max(total, 1))) < documents) if total > documents else docs
+    rows = sampled(docs, ["text"], documents)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
