@@ -13,10 +13,10 @@ texts are not connected yet.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +38,11 @@ def text_key() -> Column:
 
 def labelled(hashes: np.ndarray) -> np.ndarray:
     """Hashes told apart by occurrence: the second equal one differs from the first."""
-    count = pd.Series(hashes).groupby(hashes, sort=False).cumcount().to_numpy().astype(np.uint64)
+    order = hashes.argsort(kind="stable")
+    ranked, each = hashes[order], np.arange(len(hashes))
+    first = np.where(np.concatenate(([True], ranked[1:] != ranked[:-1])), each, 0) if len(hashes) else each
+    count = np.empty(len(hashes), np.uint64)
+    count[order] = each - np.maximum.accumulate(first)
     with np.errstate(over="ignore"):
         return mixed(hashes + count * np.uint64(0xD6E8FEB86659FD93))
 
@@ -76,21 +80,66 @@ def sketches(words: np.ndarray, many: int = SKETCHES, picked: int = PICKED) -> n
     return total.view(np.int64)
 
 
+def rising(values: np.ndarray) -> np.ndarray:
+    """Places of a longest rising subsequence of distinct numbers."""
+    if (np.diff(values) > 0).all():
+        return np.arange(len(values))
+    tails: list[int] = []
+    ends: list[int] = []
+    before = []
+    for i, v in enumerate(values.tolist()):
+        at = bisect_left(tails, v)
+        before.append(ends[at - 1] if at else -1)
+        tails[at:at + 1] = [v]
+        ends[at:at + 1] = [i]
+    out, i = [], ends[-1]
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return np.array(out[::-1])
+
+
+def shared(a: np.ndarray, b: np.ndarray, q: int) -> int:
+    """q-grams of two word sequences in common, with repetition."""
+    if min(len(a), len(b)) < q:
+        return 0
+    return len(np.intersect1d(*(labelled(kmers(w.astype(np.uint64), q)) for w in (a, b)), assume_unique=True))
+
+
+def anchored(a: np.ndarray, b: np.ndarray, k: int = 3) -> int:
+    """Edits of an alignment through shared k-mers in rising order: an upper bound
+    of the edit distance, close where edits are few."""
+    if min(len(a), len(b)) < k:
+        return max(len(a), len(b))
+    x, y = (labelled(kmers(w.astype(np.uint64), k)) for w in (a, b))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not len(i):
+        return max(len(a), len(b))
+    order = i.argsort()
+    i, j = i[order], j[order]
+    chain = rising(j)
+    i, j = i[chain], j[chain]
+    p, r = np.diff(i) - 1, np.diff(j) - 1  # words between neighbouring anchors' first words
+    between = np.maximum(p, r) - np.minimum(np.minimum(p, r), k - 1)
+    return int(max(i[0], j[0]) + between.sum() + max(len(a) - i[-1] - k, len(b) - j[-1] - k))
+
+
 def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     """Whether ``most`` edits (insertions, deletions, substitutions) turn a into b.
 
-    Furthest points are kept per diagonal, in the band of diagonals that ``most``
-    edits can reach.
+    An alignment through shared k-mers settles most pairs that are alike, counts of
+    shared q-grams most that are not. Else furthest points are kept per diagonal, in
+    the band of diagonals that ``most`` edits can reach.
     """
     if abs(len(a) - len(b)) > most:
         return False
     short = min(len(a), len(b))
     differ = np.flatnonzero(a[:short] != b[:short])
-    if len(a) == len(b) and len(differ) <= most:
+    if (len(a) == len(b) and len(differ) <= most) or anchored(a, b) <= most:
         return True
-    common = np.intersect1d(labelled(a.astype(np.uint64)), labelled(b.astype(np.uint64)), assume_unique=True)
-    if max(len(a), len(b)) - len(common) > most:  # each missing word is an edit
-        return False
+    for q in (3, 2, 1):  # an edit changes at most q of the q-grams
+        if shared(a, b, q) < max(len(a), len(b)) - q + 1 - q * most:
+            return False
     front = int(differ[0]) if len(differ) else short
     a, b = a[front:], b[front:]
     short = min(len(a), len(b))
