@@ -4,11 +4,11 @@ The k-mers of a text are its runs of five words, each labelled with its
 occurrence number. A sketch takes the ``PICKED`` k-mers with the smallest hash
 values and keeps them in text order, so two texts agree on it only where they
 share k-mers in the same order. Texts that agree on one of ``SKETCHES`` sketches
-are candidates: each member of such a bucket with the bucket's shortest and
-longest text, never all pairs. A candidate counts when a banded alignment needs
-edits of no more than a fifth of the longer text's words. First the pair of each
-text that agrees on most sketches is aligned; further pairs only where their
-texts are not connected yet.
+are candidates. A candidate counts when a banded alignment needs edits of no more
+than a fifth of the longer text's words. First each member of a bucket is aligned
+with the bucket's shortest and longest text and its hub; then all pairs of a bucket
+whose texts are not connected yet are tried, in blocks, so that two texts that
+share a bucket and are alike are always in one class.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ K = 5
 PICKED = 3
 SKETCHES = 40
 SIMILAR = 0.8
+#: Texts of a bucket that are compared with one another, or with as many more, in one step.
+BLOCK = 256
 MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -206,19 +208,27 @@ def sketched(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, key binary, n_words int, sketch array<bigint>")
 
 
+def memberships(nodes: DataFrame) -> DataFrame:
+    """(key, n_words, slot, bucket): every text in the bucket of each of its sketches."""
+    return nodes.select("key", "n_words", F.posexplode("sketch").alias("slot", "bucket"))
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, hits): members of a bucket with its shortest and longest text."""
-    member = nodes.select("key", "n_words", F.explode("sketch").alias("bucket"))
+    """(a, b, hits): members of a bucket with its shortest and longest text and with
+    its hub, the text that meets most others in all its buckets."""
+    member = memberships(nodes)
+    met = staged(member.join(member.groupBy("bucket").agg(F.count("*").alias("met")).where("met > 1"), "bucket"))
+    member = met.join(met.groupBy("key").agg(F.sum("met").alias("degree")), "key")
     size = F.struct("n_words", "key")
-    ends = member.groupBy("bucket").agg(F.min(size).alias("low"), F.max(size).alias("high")).where("low.key <> high.key")
-    met = member.join(ends, "bucket")
-    pairs = met.select("key", F.explode(F.array("low", "high")).alias("end")).where("key <> end.key")
-    return pairs.groupBy(F.least("key", "end.key").alias("a"), F.greatest("key", "end.key").alias("b")).agg(F.count("*").alias("hits"))
+    ends = member.groupBy("bucket").agg(F.min(size).alias("low"), F.max(size).alias("high"), F.max(F.struct("degree", "key")).alias("hub"))
+    ends = ends.select("bucket", F.array_distinct(F.array("low.key", "high.key", "hub.key")).alias("ends"))
+    pairs = met.join(ends, "bucket").select("key", F.explode("ends").alias("end")).where("key <> end")
+    return pairs.groupBy(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b")).agg(F.count("*").alias("hits"))
 
 
-def aligned(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are alike, as links (u, v)."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes.select("key", "first"), "key")
+def spelled(keys: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, words) of some texts: the hashes of their words in turn, as bytes."""
+    needed = keys.distinct().join(nodes.select("key", "first"), "key")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -228,7 +238,12 @@ def aligned(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("first"), F.coalesce("text", F.lit("")).alias("text"), text_key())
     wanted = needed.withColumnsRenamed({"key": "want", "first": "row"})
     found = rows.join(wanted, (rows["key"] == wanted["want"]) & rows["first"].eqNullSafe(wanted["row"])).select("key", "text")
-    words = staged(found.mapInArrow(encode, "key binary, words binary").dropDuplicates(["key"]))
+    return staged(found.mapInArrow(encode, "key binary, words binary").dropDuplicates(["key"]))
+
+
+def aligned(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are alike, as links (u, v)."""
+    words = spelled(pairs.select(F.explode(F.array("a", "b")).alias("key")), docs, nodes)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 200):
@@ -242,6 +257,110 @@ def aligned(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(verify, "u binary, v binary")
 
 
+def profile(words: list[np.ndarray], width: int) -> np.ndarray:
+    """How many of each text's words, told apart by occurrence, fall in each of
+    ``width`` cells: products bound the words that two texts share from above."""
+    out = np.zeros((len(words), width), np.float32)
+    for row, own in zip(out, words):
+        cells = labelled(mixed(own.astype(np.uint64))) % np.uint64(width)
+        row += np.bincount(cells.astype(np.int64), minlength=width)
+    return out
+
+
+def joined_pairs(slot: int, crossing: bool, side: np.ndarray, roots: list[bytes], sketch: np.ndarray, words: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """Links of roots by the alike pairs of one block (or, ``crossing``, of two) of a bucket.
+
+    Every pair of different roots whose first common sketch is ``slot`` is tried,
+    unless its roots are linked by then; those that share most words come first.
+    """
+    _, root = np.unique(np.array(roots, object), return_inverse=True)
+    if root.max() == 0:
+        return []
+    i = np.flatnonzero(side == 0) if crossing else np.arange(len(root))
+    j = np.flatnonzero(side == 1) if crossing else i
+    size = np.array([len(w) for w in words])
+    longest = np.maximum(size[i][:, None], size[j][None, :])
+    most = ((1 - SIMILAR) * longest + 1e-9).astype(np.int64)
+    open_ = (root[i][:, None] != root[j][None, :]) & (longest - np.minimum(size[i][:, None], size[j][None, :]) <= most)
+    if not crossing:
+        open_ &= i[:, None] < j[None, :]
+    for earlier in range(slot):
+        if not open_.any():
+            return []
+        open_ &= sketch[i, earlier][:, None] != sketch[j, earlier][None, :]
+    p, q = open_.nonzero()
+    if not len(p):
+        return []
+    if len(p) > 8:
+        cells = profile(words, min(16_384, 1 << int(4 * size.max()).bit_length()))
+        share = (cells[i] @ cells[j].T)[p, q]
+        enough = share >= (longest - most)[p, q]
+        p, q, share = p[enough], q[enough], share[enough]
+        order = (-share / longest[p, q]).argsort(kind="stable")
+        p, q = p[order], q[order]
+    head = list(range(int(root.max()) + 1))
+
+    def find(r: int) -> int:
+        while head[r] != r:
+            head[r] = r = head[head[r]]
+        return r
+
+    links = []
+    for x, y in zip(i[p].tolist(), j[q].tolist()):
+        u, v = find(int(root[x])), find(int(root[y]))
+        if u != v and alike(words[x], words[y]):
+            head[u] = v
+            links.append((roots[x], roots[y]))
+    return links
+
+
+def remaining(joined: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (u, v) of roots by all pairs that share a bucket and are not connected.
+
+    A bucket whose members have one root is done. The members of another are dealt
+    over blocks of about ``BLOCK`` texts, and every two blocks meet in one group.
+    """
+    member = memberships(nodes).join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    state = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    left = staged(member.join(state.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
+    words = spelled(left.select("key"), docs, nodes)
+    every = left.select("key", "root", "slot", "bucket", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    group = ["bucket", "low", "high"]
+    dealt = every.select(
+        "key", "root", "slot", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"))
+    full = dealt.join(words, "key").join(nodes.select("key", "sketch"), "key").repartition(*group).sortWithinPartitions(*group)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(of: tuple, rows: list[dict]) -> pa.RecordBatch:
+            found = joined_pairs(
+                rows[0]["slot"], of[1] != of[2], np.array([r["side"] for r in rows]), [r["root"] for r in rows],
+                np.array([r["sketch"] for r in rows], np.int64), [np.frombuffer(r["words"], np.uint32) for r in rows])
+            return pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in found], pa.binary()), "v": pa.array([v for _, v in found], pa.binary())})
+
+        now, own = None, []
+        for batch in sliced(batches, 200):
+            for row in batch.to_pylist():
+                if (of := tuple(row[c] for c in group)) != now and own:
+                    yield links(now, own)
+                    own = []
+                now = of
+                own.append(row)
+        if own:
+            yield links(now, own)
+
+    return full.mapInArrow(settle, "u binary, v binary")
+
+
+def merged(joined: DataFrame, over: DataFrame) -> DataFrame:
+    """``joined`` (node, root) with links (u, v) between roots; a node without one is its own root."""
+    final = staged(components(staged(over)))
+    of = joined.join(final.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    alone = final.join(joined.select(F.col("node").alias("old")), final["node"] == F.col("old"), "left_anti")
+    return staged(of.union(alone.select("node", "root")))
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, key) of ``docs``, and (key, class_doc, class_key) of every
     distinct text: the row of the smallest doc_id of its class."""
@@ -258,11 +377,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("a", "b", F.coalesce("a_root", "a").alias("u"), F.coalesce("b_root", "b").alias("v")).where("u <> v"))
     apart = staged(apart)
     more = aligned(apart.select("a", "b"), docs, nodes)
-    over = more.withColumnsRenamed({"u": "a", "v": "b"}).join(apart, ["a", "b"]).select("u", "v")
-    final = components(staged(over))
-    of = joined.join(final.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    alone = final.join(joined, final["node"] == joined["node"], "left_anti")
-    roots = of.union(alone.select("node", "root")).withColumnRenamed("node", "key")
+    joined = merged(joined, more.withColumnsRenamed({"u": "a", "v": "b"}).join(apart, ["a", "b"]).select("u", "v"))
+    roots = merged(joined, remaining(joined, docs, nodes)).withColumnRenamed("node", "key")
     named = nodes.select("key", "first").join(roots, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     named = staged(named)
     winner = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), F.col("first").alias("doc"), "key")).alias("w"))

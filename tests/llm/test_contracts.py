@@ -306,6 +306,35 @@ def test_near_classes_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values())) and kept.columns == ["doc_id", "text", *CLASH]
 
 
+@pytest.mark.parametrize("block", [256, 40])
+def test_near_tries_all_pairs_of_a_bucket(spark, monkeypatch, block):
+    """300 copies with 12 % of words edited, each alike to the original only; and
+    pairs of alike texts among many that share a passage."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    rng, vocabulary_ = random.Random(12), [f"w{i}" for i in range(3000)]
+
+    def edited(base, share):
+        own = list(base)
+        for at in rng.sample(range(len(own)), int(share * len(own))):
+            own[at] = rng.choice(vocabulary_)
+        return own
+
+    base, passage = prose(1, 100, vocabulary_).split(), prose(2, 30, vocabulary_).split()
+    split = [base] + [edited(base, 0.12) for _ in range(300)]
+    for g in range(60):
+        own = prose(1000 + g, rng.randint(20, 25), vocabulary_).split()
+        split += [passage + own, passage + edited(own, 0.2)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(split)], "doc_id long, text string")
+    words = list(near.word_hashes([" ".join(t) for t in split]))
+    sketch, root = np.array([near.sketches(w) for w in words]), np.arange(len(split))
+    for i in range(len(split)):
+        for j in np.flatnonzero((sketch[:i] == sketch[i]).any(axis=1)):
+            if root[i] != root[j] and near.alike(words[i].astype(np.uint32), words[j].astype(np.uint32)):
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+    assert (root[:301] == 0).sum() > 250 and len(set(root[301:])) > 50
+    assert [r["class_id"] for r in near.near_duplicates(docs).orderBy("doc_id").collect()] == root.tolist()
+
+
 def test_near_odd(spark, odd, empty):
     got = sorted(map(str, rows_of(near.near_duplicates(clashing(odd)))))
     assert len(got) == odd.count()
