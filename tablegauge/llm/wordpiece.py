@@ -37,7 +37,14 @@ def _bytes_of_symbols() -> dict[str, int]:
 class WordTokens:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            described = json.load(file)
+        vocabulary = described["model"]["vocab"]
+        added = described.get("added_tokens") or []
+        if any(t.get(k) for t in added for k in ("normalized", "single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens must be plain ones: as spelled, anywhere in a text")
+        self.added = {t["content"]: np.array([t["id"]], np.uint32) for t in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.marker = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if added else None
         symbol = _bytes_of_symbols()
         ranks: dict[bytes, int] = {}
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -76,7 +83,19 @@ class WordTokens:
         return ids, np.diff(ends)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, without special tokens."""
+        """The ids of each text; no special tokens are put around it, but the
+        added tokens of the vocabulary that it spells out have theirs."""
+        if self.marker is None:
+            return self.plain(texts)
+        # Odd parts are added tokens; what lies between them is encoded by itself.
+        parts = [self.marker.split(text) if any(t in text for t in self.added) else [text] for text in texts]
+        own = iter(self.plain([part for of in parts for part in of[::2]]))
+        return [
+            next(own) if len(of) == 1 else np.concatenate([self.added[part] if i % 2 else next(own) for i, part in enumerate(of)]).astype(np.uint32)
+            for of in parts]
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts without added tokens."""
         out: list[np.ndarray] = []
         for part in chunks(texts):
             words = Words([self.lowered(text) for text in texts[part]])

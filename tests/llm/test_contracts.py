@@ -67,6 +67,15 @@ def test_tokens_equal_the_library(spark):
         assert whole.encode(text, add_special_tokens=False).ids == ids.tolist()
 
 
+def test_added_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(vocabulary())
+    texts = ["a <|endoftext|> b", "A<|endoftext|>B", "x <|ENDOFTEXT|> y", "<|endoftext|><|startoftext|>", "<|endoftext|>", "<|end oftext|>", "",
+             "e\u0301<|endoftext|>\u0301b", "<<|startoftext|>>'s", "don<|endoftext|>'t", "<|startoftext|> Σ<|endoftext|>\n\n<|endoftext|> end"]
+    for text, ids in zip(texts, tokens(vocabulary()).encode(texts)):
+        assert whole.encode(text, add_special_tokens=False).ids == ids.tolist()
+
+
 def whole_ids(text):
     return [*tokens(vocabulary()).encode([text or ""])[0].tolist(), 1]
 
