@@ -6,6 +6,11 @@ passage. Every window of every document is hashed under each mask and joined wit
 the windows of the benchmark. A hit fixes a diagonal (document place minus item
 place); along it the tokens are compared, and the best run under +1 for an equal
 and -2 for a different token is kept if it is long and equal enough.
+
+An item of at most ``SHORT`` tokens also counts as a whole, if three quarters of
+its tokens are equal at their places; under ``EXACT`` tokens, all. Such an item is
+cut into one part more than tokens may differ, so that one part is always intact:
+these parts are its seeds.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ MASKS = ((0, 1, 2, 4, 6, 7, 9, 11), (0, 1, 3, 4, 5, 8, 10, 11), (0, 2, 3, 5, 6,
 #: Windows handled as one array, so that a long text is not one row of windows.
 BLOCK = 4096
 MIN_TOKENS, MIN_EQUAL, MIN_SHARE = 12, 10, 0.75
+#: Items of up to so many tokens are judged as a whole too; shorter than ``EXACT``, only when repeated word by word.
+SHORT, EXACT = 20, 8
 #: Benchmark seeds that are broadcast; a larger benchmark is joined by shuffle.
 BROADCAST_SEEDS = 2_000_000
 
@@ -35,20 +42,34 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def seeds(rows: DataFrame, *keys: str) -> DataFrame:
+def seeds(rows: DataFrame, *keys: str, span: int = SPAN, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
     """(keys, at, seed): every window under every mask, of rows with ``words``."""
-    last = F.size("words") - SPAN  # first token of the last window
+    last = F.size("words") - span  # first token of the last window
     starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(BLOCK)))
     blocks = rows.select(*keys, F.explode(F.transform(starts, lambda s: F.struct(
-        s.alias("start"), F.slice(F.col("words"), s + 1, BLOCK + SPAN - 1).alias("own")))).alias("b")).select(*keys, "b.*")
-    count = F.size("own") - SPAN + 1
-    columns = [F.slice(F.col("own"), F.lit(i + 1), count).alias(f"t{i}") for i in range(SPAN)]
+        s.alias("start"), F.slice(F.col("words"), s + 1, BLOCK + span - 1).alias("own")))).alias("b")).select(*keys, "b.*")
+    count = F.size("own") - span + 1
+    columns = [F.slice(F.col("own"), F.lit(i + 1), count).alias(f"t{i}") for i in range(span)]
     windows = blocks.select(*keys, "start", F.posexplode(F.arrays_zip(*columns)).alias("at", "t")).select(
-        *keys, (F.col("start") + F.col("at")).alias("at"), *(F.col(f"t.t{i}").alias(f"t{i}") for i in range(SPAN)))
-    hashed = F.array(*(F.xxhash64(F.lit(m), *(f"t{i}" for i in mask)) for m, mask in enumerate(MASKS)))
+        *keys, (F.col("start") + F.col("at")).alias("at"), *(F.col(f"t.t{i}").alias(f"t{i}") for i in range(span)))
+    hashed = F.array(*(F.xxhash64(F.lit(m), *(f"t{i}" for i in mask)) for m, mask in enumerate(masks)))
     return windows.select(*keys, "at", F.explode(hashed).alias("seed"))
 
 
+def differing(size: Column) -> Column:
+    """How many tokens of a short item of ``size`` may differ."""
+    return F.when(size < EXACT, F.lit(0)).otherwise(F.floor(size * (1 - MIN_SHARE))).cast("int")
+
+
+def parts(items: DataFrame) -> tuple[DataFrame, list[int]]:
+    """The short ones of ``items`` (item_id, words) with the ``width`` of their parts
+    and the place ``stop`` where these end, and the widths there are (few numbers)."""
+    size = F.size("words")
+    short = items.where((size > 0) & (size <= SHORT)).withColumn("width", F.floor(size / (differing(size) + 1)).cast("int"))
+    short = staged(short.withColumn("stop", F.col("width") * (differing(size) + 1)))
+    return short, sorted(r["width"] for r in short.select("width").distinct().collect())
+
+
 def best_run(equal: Column) -> Column:
     """The best run (first, last + 1, equal tokens) of an array of 0 and 1."""
     start = F.expr("named_struct('at', 0, 'first', 0, 'score', 0, 'hit', 0, 'best', 0, 'lo', 0, 'hi', 0, 'same', 0)")
@@ -71,28 +92,47 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every verified overlap of a row of ``docs`` with an item of ``benchmark``.
 
     Returns doc_id, text_hash, item_id, doc_start, item_start, n_tokens, n_equal
-    (places count tokens from 0). A null or empty text, and one of fewer than
-    twelve tokens on either side, has none. A passage that occurs twice in a text
+    (places count tokens from 0). A null or empty text has none. Of an item of
+    fewer than twelve tokens only the whole counts; one of a single word meets every
+    text with that word. A passage that occurs twice in a text
     gives two rows; equal rows of ``docs`` each give theirs; items with equal texts
     each match; empty tables give no rows; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), tokens().alias("words"))
     items = staged(benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens().alias("item_words")))
-    known = staged(seeds(items.withColumnRenamed("item_words", "words"), "item_id").withColumnRenamed("at", "item_at").distinct())
-    if known.count() <= BROADCAST_SEEDS:
-        known = F.broadcast(known)
-    met = seeds(rows, "doc_id", "text_hash").join(known, "seed")
-    hits = staged(met.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
+    listed = items.withColumnRenamed("item_words", "words")
+    short, widths = parts(listed)
+
+    def met(own: DataFrame, span: int, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+        known = staged(own.withColumnRenamed("at", "item_at").distinct())
+        if known.count() <= BROADCAST_SEEDS:
+            known = F.broadcast(known)
+        found = seeds(rows, "doc_id", "text_hash", span=span, masks=masks).join(known, "seed")
+        return found.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+
+    every = met(seeds(listed, "item_id"), SPAN, MASKS)
+    for width in widths:
+        mask = (tuple(range(width)),)
+        own = seeds(short.where(F.col("width") == width), "item_id", "stop", span=width, masks=mask)
+        every = every.union(met(own.where((F.col("at") % width == 0) & (F.col("at") < F.col("stop"))).drop("stop"), width, mask))
+    hits = staged(every.distinct())
     found = hits.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "item_id", "shift").join(items, "item_id")
     both = rows.join(found, rows["doc_id"].eqNullSafe(found["d"]) & (rows["text_hash"] == found["h"]))
     a, b = F.greatest(F.col("shift"), F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
     length = F.least(F.size("words") - a, F.size("item_words") - b)
     equal = F.zip_with(F.slice("words", a + 1, length), F.slice("item_words", b + 1, length), lambda x, y: (x == y).cast("int"))
-    run = both.select("doc_id", "text_hash", "item_id", a.alias("a"), b.alias("b"), best_run(equal).alias("r"))
+    run = both.select("doc_id", "text_hash", "item_id", F.size("item_words").alias("n"), length.alias("length"), a.alias("a"), b.alias("b"), best_run(equal).alias("r"),
+                      F.aggregate(equal, F.lit(0), lambda s, e: s + e).alias("same"))
     size = F.col("r.hi") - F.col("r.lo")
-    return run.where((size >= MIN_TOKENS) & (F.col("r.same") >= MIN_EQUAL) & (F.col("r.same") >= MIN_SHARE * size)).select(
-        "doc_id", "text_hash", "item_id", (F.col("a") + F.col("r.lo")).cast("long").alias("doc_start"),
-        (F.col("b") + F.col("r.lo")).cast("long").alias("item_start"), size.cast("long").alias("n_tokens"), F.col("r.same").cast("long").alias("n_equal"))
+    long = (size >= MIN_TOKENS) & (F.col("r.same") >= MIN_EQUAL) & (F.col("r.same") >= MIN_SHARE * size)
+    whole = (F.col("n") <= SHORT) & (F.col("length") == F.col("n")) & (F.col("n") - F.col("same") <= differing(F.col("n")))
+
+    def of(in_run: Column, in_whole: Column | int) -> Column:
+        return F.when(long, in_run).otherwise(in_whole).cast("long")
+
+    return run.where(long | whole).select(
+        "doc_id", "text_hash", "item_id", of(F.col("a") + F.col("r.lo"), F.col("a")).alias("doc_start"),
+        of(F.col("b") + F.col("r.lo"), F.lit(0)).alias("item_start"), of(size, F.col("n")).alias("n_tokens"), of(F.col("r.same"), F.col("same")).alias("n_equal"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -426,6 +426,38 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.overlaps(docs, benchmark.limit(0)).count() == 0
 
 
+def test_short_items_in_every_place(spark):
+    """Items of 8 to 20 tokens with none, one, two and as many words substituted as
+    the rule allows; shorter ones word by word."""
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(1, 21)}
+    benchmark = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    rng, docs, want = random.Random(4), [], set()
+
+    def put(n, places, counts):
+        own = [f"z{k}" if k in places else t for k, t in enumerate(items[n])]
+        docs.append((len(docs), "before it " + " ".join(own) + " after it"))
+        if counts:
+            want.add((len(docs) - 1, n))
+
+    for n in items:
+        put(n, (), True)
+        if n < 8:
+            put(n, (n - 1,), False)
+            continue
+        for i in range(n):
+            put(n, (i,), True)
+            for j in range(i):
+                put(n, (i, j), True)
+        for _ in range(30):
+            put(n, rng.sample(range(n), n // 4), True)
+            if n < 12:
+                put(n, rng.sample(range(n), n // 4 + 1), False)
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.overlaps(docs, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    assert decontaminate.clean(docs, benchmark).count() == docs.count() - len(want)
+
+
 # --- neighbours (9) ---
 
 def test_neighbours_equal_brute_force(spark):
