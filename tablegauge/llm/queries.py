@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import binary, decontaminate, language, near, neighbours, packing, pii, secrets, sharding, toxicity
+from tablegauge.llm import binary, bpe, decontaminate, language, near, neighbours, packing, phrases, pii, secrets, sharding, toxicity, whitening
 from tablegauge.llm.common import documents, staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,10 +62,29 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(documents(spark, folder)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    done = whitening.whiten(table(spark, folder, "embeddings"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    return done.select("vec_id", "n", "deviation", "identity_error", each).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(documents(spark, folder))
+
+
+def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe.decode(bpe.encode(documents(spark, folder), vocabulary()), vocabulary())
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_pii, op2_pack, op3_secrets, op4_shards, op5_near, op6_toxicity, op7_binary, op8_decontaminate, op9_neighbours, op10_language)}
+    op1_pii, op2_pack, op3_secrets, op4_shards, op5_near, op6_toxicity, op7_binary, op8_decontaminate, op9_neighbours, op10_language,
+    op11_whitening, op12_phrases, op13_bpe)}
 
-# --- DuckDB SQL; op1, op2, op5, op6, op7, op8 and op10 are tested against plain versions ---
+# --- DuckDB SQL; the other queries are tested against plain versions ---
 
 #: Rows that take part in a search.
 _USABLE = """vec_id IS NOT NULL AND len(embedding) > 0
@@ -137,4 +156,24 @@ summed AS (SELECT number, doc_id, octet_length(bytes) + 1 AS size, xor(list_redu
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(n % {sharding.SHARDS} AS INTEGER) AS shard, n // {sharding.SHARDS} AS slot,
   CAST(NULL AS INTEGER) AS grown_shard FROM summed JOIN (SELECT number, n FROM walk WHERE done) USING (number)"""
 
-ORACLES: dict[str, str] = {"op3_secrets": _SECRETS, "op4_shards": _SHARDS, "op9_neighbours": _NEAREST}
+_PHRASES = f"""
+WITH pieces AS (SELECT coalesce(lang, '{phrases.UNNAMED}') AS lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+runs AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM words, range(1, {phrases.LONGEST + 1}) t(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+often AS (SELECT *, string_split(phrase, ' ') AS p FROM f WHERE m > 1 AND f >= {phrases.LEAST}),
+inside AS (SELECT lang, f AS longer, unnest(flatten(list_transform(range(2, m), lambda s: list_transform(range(1, m - s + 2),
+  lambda i: array_to_string(p[i:i + s - 1], ' '))))) AS phrase FROM often WHERE m > 2),
+covered AS (SELECT lang, phrase, max(longer) AS longer FROM inside GROUP BY ALL),
+kept AS (SELECT lang, m, phrase, f, p FROM often LEFT JOIN covered USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < {phrases.COVERED} * f),
+cuts AS (SELECT lang, phrase, f AS a, k, array_to_string(p[1:k], ' ') AS x, array_to_string(p[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+scored AS (SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * a // (l.f + r.f) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.phrase = c.y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN total USING (lang) WHERE rank <= {phrases.TOP}"""
+
+ORACLES: dict[str, str] = {"op3_secrets": _SECRETS, "op4_shards": _SHARDS, "op9_neighbours": _NEAREST, "op12_phrases": _PHRASES}
