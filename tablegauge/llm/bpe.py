@@ -4,8 +4,8 @@ A text is normalised, split at the vocabulary's added tokens and cut into pieces
 piece starts as one symbol per byte, the last one marked as a word end. The leaves of a
 segment tree hold the rank of the merge of each symbol with the next one, every inner
 node the lowest below it. The root thus gives the lowest rank, and going down, left
-first, its leftmost place; a merge changes three leaves and their ancestors. Pieces
-repeat, so a process keeps the ids of the short ones it met first.
+first, its leftmost place; a merge changes three leaves and their ancestors. Short
+pieces have their trees side by side in arrays; a process keeps the ids of many.
 """
 
 from __future__ import annotations
@@ -23,13 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablegauge.llm.common import sliced
+from tablegauge.llm.common import chunks, sliced
 
-#: Pieces whose ids a process keeps, and their longest length in characters.
-KEPT, SHORT = 200_000, 40
+#: Pieces whose ids a process keeps; those of the last texts, when there are more.
+KEPT = 300_000
+#: Symbols of pieces whose trees lie side by side, by classes, and trees in one step.
+CLASSES, TREES = (8, 16, 32), 50_000
 #: Characters of a text that are cut into pieces at once; cuts lie before white space.
 SLICE = 1_000_000
 NEVER = 1 << 40
+UNRANKED = 1 << 30
 BLANK = regex.compile(r"\s")
 #: Characters outside these ranges may be classed otherwise by another Unicode version:
 #: texts with them are normalised and cut by the library itself.
@@ -97,6 +100,81 @@ def merged(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -
     return [s for s in symbols if s >= 0]
 
 
+class Forest:
+    """Many small segment trees side by side: each step merges one pair of every piece."""
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]], symbols: int):
+        self.symbols = symbols
+        keys = np.array([a * symbols + b for a, b in merges], np.int64)
+        order = keys.argsort()
+        self.keys, self.ranks = keys[order], np.array([rank for rank, _ in merges.values()], np.int32)[order]
+        self.made = np.zeros(len(merges), np.int32)
+        self.made[[rank for rank, _ in merges.values()]] = [new for _, new in merges.values()]
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs; ``UNRANKED`` where they do not merge."""
+        key = a.astype(np.int64) * self.symbols + b
+        at = np.minimum(self.keys.searchsorted(key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], UNRANKED)
+
+    def merged(self, symbols: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
+        """The symbols of each piece after all its merges, as ``merged`` gives them, from
+        those of all pieces end to end."""
+        size = 1 << max(int(lengths.max()) - 1, 1).bit_length()
+        wide, rows = 2 * size, len(lengths)
+        symbol = np.full((rows, size + 1), -1, np.int32)
+        symbol[np.arange(size + 1) < lengths[:, None]] = symbols
+        tree = np.full((rows, wide), UNRANKED, np.int32)
+        row, at = np.nonzero(symbol[:, 1:] >= 0)
+        tree[row, size + at] = self.rank(symbol[row, at], symbol[row, at + 1])
+        node = size
+        while node > 1:
+            node //= 2
+            tree[:, node:2 * node] = np.minimum(tree[:, 2 * node:4 * node:2], tree[:, 2 * node + 1:4 * node:2])
+        after = np.tile(np.arange(1, size + 2, dtype=np.int32), (rows, 1))
+        before = after - 2
+        symbol, tree, after, before = symbol.ravel(), tree.ravel(), after.ravel(), before.ravel()
+
+        def place(of: np.ndarray, leaf: np.ndarray, rank: np.ndarray) -> None:
+            """Sets a leaf of each of some trees, and what stands above it."""
+            base, node = of * wide, leaf + size
+            tree[base + node] = rank
+            while node[0] > 1:
+                node = node >> 1
+                left = base + 2 * node
+                tree[base + node] = np.minimum(tree[left], tree[left + 1])
+
+        open_ = np.arange(rows)
+        while True:
+            rank = tree[open_ * wide + 1]
+            go = rank < UNRANKED
+            open_, rank = open_[go], rank[go]
+            if not len(open_):
+                break
+            base, node = open_ * wide, np.ones(len(open_), np.int64)
+            while node[0] < size:
+                node = 2 * node
+                node += tree[base + node] > tree[base + node + 1]
+            i, base, new = node - size, open_ * (size + 1), self.made[rank]
+            j = after[base + i]
+            k = after[base + j]
+            symbol[base + i], symbol[base + j] = new, -1
+            after[base + i] = k
+            inner = k < size
+            before[(base + k)[inner]] = i[inner]
+            place(open_, j, UNRANKED)
+            follows = np.where(inner, symbol[base + np.minimum(k, size)], -1)
+            place(open_, i, np.where(follows >= 0, self.rank(new, np.maximum(follows, 0)), UNRANKED))
+            h = before[base + i]
+            has = h >= 0
+            if has.any():
+                place(open_[has], h[has], self.rank(symbol[(base + h)[has]], new[has]))
+        symbol = symbol.reshape(rows, size + 1)
+        kept = symbol >= 0
+        ids, ends = symbol[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
 def _symbol_of_byte() -> list[str]:
     """The character that stands for each byte: itself where it prints, else one from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -122,9 +200,10 @@ class Coder:
         self.marker = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if added else None
         self.piece = regex.compile(splits[0]["pattern"]["Regex"])
         self.library = Tokenizer.from_file(path)
-        self.vocabulary, self.end = vocabulary, end
-        self.inner = [vocabulary[c] for c in _symbol_of_byte()]
-        self.last = [vocabulary[c + end] for c in _symbol_of_byte()]
+        spelled = _symbol_of_byte()
+        self.byte = {c: b for b, c in enumerate(spelled)}
+        self.inner = np.array([vocabulary[c] for c in spelled], np.int32)
+        self.last = np.array([vocabulary[c + end] for c in spelled], np.int32)
         self.merges = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -132,47 +211,67 @@ class Coder:
         self.spelled = np.empty(max([*vocabulary.values(), *self.added.values()]) + 1, object)
         for text, number in chain(vocabulary.items(), self.added.items()):
             self.spelled[number] = text
-        coder = self
+        self.forest = Forest(self.merges, max(vocabulary.values()) + 1)
+        # Added tokens as bytes, pieces as text, pieces in the library's own spelling as tuples.
+        self.fixed = {content.encode(): [number] for content, number in self.added.items()}
+        self.known: dict[bytes | str | tuple[str], list[int]] = dict(self.fixed)
 
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> list[int]:
-                raw = piece.encode("utf-8", "replace")
-                ids = merged([*(coder.inner[b] for b in raw[:-1]), coder.last[raw[-1]]], coder.merges)
-                if len(piece) <= SHORT and len(self) < KEPT:
-                    self[piece] = ids
-                return ids
-
-        self.pieces = Pieces()
-
-    def _plain(self, text: str) -> list[int]:
-        """The ids of a text without added tokens."""
+    def _plain(self, text: str) -> list:
+        """The pieces of a text without added tokens."""
         if not text.isascii():
             if not SETTLED.fullmatch(text):
-                return self._unsettled(text)
+                return [(piece,) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
             # The library lowers each character by itself, also a sigma at a word's end.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.piece.findall(text.lower()))))
-
-    def _unsettled(self, text: str) -> list[int]:
-        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        marked = ([*piece[:-1], piece[-1] + self.end] for piece, _ in cut)
-        return list(chain.from_iterable(merged([self.vocabulary[c] for c in piece], self.merges) for piece in marked))
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a text; added tokens that it spells out have their own, none is put around it."""
-        if len(text) > SLICE:
-            return np.concatenate([self._encoded(part) for part in _slices(text)])
-        return self._encoded(text)
+        return self.piece.findall(text.lower())
 
-    def _encoded(self, text: str) -> np.ndarray:
+    def _cut(self, text: str) -> list:
         if self.marker is None or not any(t in text for t in self.added):
-            return np.array(self._plain(text), np.int32)
-        ids, at = [], 0
+            return self._plain(text)
+        pieces, at = [], 0
         for found in self.marker.finditer(text):
-            ids += self._plain(text[at:found.start()])
-            ids.append(self.added[found.group()])
+            pieces += self._plain(text[at:found.start()])
+            pieces.append(found.group().encode())
             at = found.end()
-        return np.array(ids + self._plain(text[at:]), np.int32)
+        return pieces + self._plain(text[at:])
+
+    def _raw(self, piece: str | tuple[str]) -> bytes:
+        return bytes(map(self.byte.__getitem__, piece[0])) if isinstance(piece, tuple) else piece.encode("utf-8", "replace")
+
+    def _learn(self, pieces: set) -> None:
+        """Adds pieces to the known ones."""
+        if len(self.known) + len(pieces) > KEPT:
+            self.known = self.fixed | {p: self.known[p] for p in pieces & self.known.keys()}
+        new = list(pieces - self.known.keys())
+        raw = list(map(self._raw, new))
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = lengths.argsort(kind="stable")
+        for low, high in zip((0, *CLASSES), CLASSES):
+            own = order[np.searchsorted(lengths[order], low, "right"):np.searchsorted(lengths[order], high, "right")]
+            for at in range(0, len(own), TREES):
+                part = own[at:at + TREES]
+                joined = np.frombuffer(b"".join([raw[i] for i in part.tolist()]), np.uint8)
+                symbols, ends = self.inner[joined], np.cumsum(lengths[part]) - 1
+                symbols[ends] = self.last[joined[ends]]
+                self.known.update(zip([new[i] for i in part.tolist()], self.forest.merged(symbols, lengths[part])))
+        for i in order[np.searchsorted(lengths[order], CLASSES[-1], "right"):].tolist():
+            self.known[new[i]] = merged([*self.inner[list(raw[i][:-1])].tolist(), int(self.last[raw[i][-1]])], self.merges)
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self._cut(text) for text in texts]
+        self._learn(set(chain.from_iterable(cut)))
+        return [np.array(list(chain.from_iterable(map(self.known.__getitem__, pieces))), np.int32) for pieces in cut]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; added tokens that it spells out have their own, none is put around it."""
+        out: list[np.ndarray] = []
+        for part in chunks(texts, SLICE):
+            own = texts[part]
+            if len(own) == 1 and len(own[0]) > SLICE:
+                out.append(np.concatenate([self._encoded([x])[0] for x in _slices(own[0])]))
+            else:
+                out += self._encoded(own)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens' spellings, joined by blanks, as the vocabulary names no decoder.
@@ -210,7 +309,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(vocabulary)
         for batch in sliced(batches, 200):
-            ids = [own.encode(text) for text in batch.column("text").to_pylist()]
+            ids = own.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
