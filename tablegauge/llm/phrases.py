@@ -15,7 +15,7 @@ Colliding hashes can only let too many pass; the survivors are summed by their t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +32,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 COVERED = 80
 UNNAMED = "und"
 #: Symbols (words and ends of pieces) of a shard, and of all shards a task fills at once.
-SHARD, HELD = 1 << 20, 1 << 22
+SHARD, HELD = 1 << 19, 1 << 21
 #: Hashes that one range of the hash space receives, about.
 RANGE = 1 << 20
 SEED = np.uint64(0xD6E8FEB86659FD93)
@@ -153,9 +153,9 @@ class OneWay:
                 break
             rank = np.empty(len(ids), np.int64)
             rank[order] = np.cumsum(new) - 1
-        self.bwt = np.roll(ids, 1)[order].astype(np.int64)  # the symbol before each suffix
-        order, _ = _grouped(self.bwt, np.zeros(1, np.int64).repeat(len(ids)))
-        self.first = np.empty(len(ids), np.int64)
+        self.bwt = np.roll(ids, 1)[order].astype(np.int32)  # the symbol before each suffix
+        order, _ = _grouped(self.bwt, np.zeros(len(ids), np.int8))
+        self.first = np.empty(len(ids), np.int32)
         self.first[order] = np.arange(len(ids))
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(ids))))  # of each symbol's suffixes
 
@@ -256,7 +256,7 @@ ASKED = "part int, shard long, hashes binary, counts binary"
 def _asked(shard: int, keys: np.ndarray, counts: np.ndarray, ranges: int, least: int) -> Iterator[pa.RecordBatch]:
     """What a shard sends to each range of hashes, in the order of its phrases there."""
     part = (keys >> np.uint64(32)) % np.uint64(ranges)
-    order, new = _grouped(part, np.zeros(1, np.int64).repeat(len(part)))
+    order, new = _grouped(part, np.zeros(len(part), np.int8))
     cuts = np.append(np.flatnonzero(new), len(part))
     low, few = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")[order], np.minimum(counts, least).astype("<u4")[order]
     few = few.astype("u1") if least < 256 else few
@@ -287,7 +287,7 @@ def answered(asked: DataFrame, least: int) -> DataFrame:
 def _enough(keys: np.ndarray, ranges: int, bits: list[tuple[int, bytes]]) -> np.ndarray:
     """The answers, in the order of ``keys``."""
     part = (keys >> np.uint64(32)) % np.uint64(ranges)
-    order, _ = _grouped(part, np.zeros(1, np.int64).repeat(len(part)))
+    order, _ = _grouped(part, np.zeros(len(part), np.int8))
     size = np.bincount(part.astype(np.int64), minlength=ranges)
     out = np.zeros(len(keys), bool)
     told = [np.unpackbits(np.frombuffer(b, np.uint8), count=size[p]) for p, b in sorted(bits)]
@@ -302,11 +302,16 @@ def counted(docs: DataFrame, least: int = LEAST, size: int = SHARD) -> tuple[Dat
     symbols = parts.agg(F.sum(F.length("ids") / 4)).first()[0] or 0
     ranges = 1 << max(0, int(symbols / RANGE).bit_length())
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Shard]]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                yield row, Shard(row["lang"], row["words"], row["ids"])
+    def each(use: Callable[[dict, Shard], Iterator[pa.RecordBatch]]) -> Callable:
+        """A task that builds one shard's index after the other."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                    yield from use(row, Shard(row["lang"], row.pop("words"), row.pop("ids")))
+
+        return work
 
     def split(of: list[Phrases], keep: np.ndarray) -> list[Phrases]:
         cuts = np.cumsum([len(p) for p in of])[:-1]
@@ -319,33 +324,30 @@ def counted(docs: DataFrame, least: int = LEAST, size: int = SHARD) -> tuple[Dat
         keys = np.concatenate([own.keys(p) for p in of])
         return split(of, _enough(keys, ranges, [(b["part"], b["bits"]) for b in bits or []]))
 
-    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, own in each(batches):
-            yield from sent(row["shard"], own, own.first_round())
-
-    def ask_longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, own in each(batches):
-            pairs = passed(own, own.first_round(), row["pairs"])[1]
-            yield from sent(row["shard"], own, own.second_round(pairs))
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, own in each(batches):
-            short = passed(own, own.first_round(), row["pairs"])
-            for of in short + passed(own, own.second_round(short[1]), row["longer"]):
-                columns = [[own.spelled[i - 1] for i in column] for column in of.words.T.tolist()]
-                text = [b" ".join(w).decode("utf-8", "replace") for w in zip(*columns)]
-                yield pa.RecordBatch.from_pydict({
-                    "lang": pa.array([row["lang"]] * len(of), pa.string()), "phrase": pa.array(text, pa.string()),
-                    "words": pa.array([of.words.shape[1]] * len(of), pa.int32()), "f": pa.array(of.count, pa.int64())})
+    def ask_pairs(row: dict, own: Shard) -> Iterator[pa.RecordBatch]:
+        return sent(row["shard"], own, own.first_round())
+
+    def ask_longer(row: dict, own: Shard) -> Iterator[pa.RecordBatch]:
+        pairs = passed(own, own.first_round(), row["pairs"])[1]
+        return sent(row["shard"], own, own.second_round(pairs))
+
+    def spell(row: dict, own: Shard) -> Iterator[pa.RecordBatch]:
+        short = passed(own, own.first_round(), row["pairs"])
+        for of in short + passed(own, own.second_round(short[1]), row["longer"]):
+            columns = [[own.spelled[i - 1] for i in column] for column in of.words.T.tolist()]
+            text = [b" ".join(w).decode("utf-8", "replace") for w in zip(*columns)]
+            yield pa.RecordBatch.from_pydict({
+                "lang": pa.array([row["lang"]] * len(of), pa.string()), "phrase": pa.array(text, pa.string()),
+                "words": pa.array([of.words.shape[1]] * len(of), pa.int32()), "f": pa.array(of.count, pa.int64())})
 
     def told(asked: DataFrame, name: str) -> DataFrame:
         """One row per shard with all its answers, a bit for each phrase it asked for."""
         return answered(asked, least).groupBy("shard").agg(F.collect_list(F.struct("part", "bits")).alias(name))
 
-    pairs = staged(told(parts.mapInArrow(ask_pairs, ASKED), "pairs"))
+    pairs = staged(told(parts.mapInArrow(each(ask_pairs), ASKED), "pairs"))
     with_pairs = parts.join(pairs, "shard", "left")
-    longer = staged(told(with_pairs.mapInArrow(ask_longer, ASKED), "longer"))
-    spelled = with_pairs.join(longer, "shard", "left").mapInArrow(spell, "lang string, phrase string, words int, f long")
+    longer = staged(told(with_pairs.mapInArrow(each(ask_longer), ASKED), "longer"))
+    spelled = with_pairs.join(longer, "shard", "left").mapInArrow(each(spell), "lang string, phrase string, words int, f long")
     table = spelled.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return staged(table), parts.groupBy("lang").agg(F.sum("n").cast("long").alias("n"))
 
