@@ -184,17 +184,17 @@ class Conditions:
         return self.compare(column, op, value)
 
 
+def bare(name: str) -> str:
+    """A name's words in lower case, parted by single blanks."""
+    return " ".join(name.lower().replace("_", " ").split())
+
+
 def match_column(hint: str, columns: Sequence[str]) -> str | None:
-    """First column whose name equals, contains or is contained in ``hint``."""
-    wanted = hint.strip().strip("_").lower()
-    spaced = wanted.replace("_", " ")
-    if not wanted:
-        return None
-    for c in columns:
-        name = c.lower()
-        if wanted in name or name in wanted or spaced in name.replace("_", " "):
-            return c
-    return None
+    """The first of ``columns`` whose words hold the hint's, or are held by them; a
+    hint without words fits none."""
+    wanted = bare(hint)
+    names = ((bare(c), c) for c in columns) if wanted else ()
+    return next((c for name, c in names if name.find(wanted) >= 0 or wanted.find(name) >= 0), None)
 
 
 def combine(conditions: Sequence[tuple[str, Column]]) -> Column:
