@@ -116,6 +116,11 @@ def context(spark: SparkSession, folder: str) -> Context:
     return _context(spark.sparkContext.applicationId, spark, folder)
 
 
+def forget_contexts() -> None:
+    """The next query infers, writes and scores anew what earlier ones shared."""
+    _context.cache_clear()
+
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
