@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablegauge import fixed
 from tablegauge.functions.scalars import NUMBER, aggregate, assign, lit, q, words
+from tablegauge.sources.csvlines import read_quoted
 
 #: Text that is a whole number; it is one only if a bigint can hold it.
 WHOLE = r"^\s*[+-]?\d+\s*$"
@@ -51,9 +52,11 @@ def null_tokens(df: DataFrame) -> DataFrame:
 
 
 def read_csv_text(spark: SparkSession, path: str | Sequence[str], line_breaks: bool = True) -> DataFrame:
-    """``line_breaks``: values in quotes may hold some. Then a file is one task;
-    switch it off where there are none and files are large."""
-    return spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks).csv(path)
+    """``line_breaks``: values in quotes may hold some. Then lines are scanned twice more,
+    by as many tasks as a file has ranges; switch it off where there are none."""
+    if line_breaks:
+        return read_quoted(spark, path)
+    return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
 def type_columns(df: DataFrame) -> DataFrame:
@@ -63,6 +66,8 @@ def type_columns(df: DataFrame) -> DataFrame:
     missing becomes a number, as a CSV reader would have it. Whole numbers that
     no bigint can hold stay text: a double would merge neighbouring ids.
     """
+    if not df.columns:
+        return df
     out: dict[str, str] = {}
     for c in df.columns:
         out[f"whole_{c}"] = (
