@@ -1,14 +1,18 @@
 """Toxicity of texts by maximum-scoring segments of token log-odds.
 
-The log-odds of toxic against other texts of each word, and of each beginning of a
-word, have an informative Dirichlet prior (the corpus's own frequencies); only clear
-ones count, a word's own before its beginnings', and all words carry a small loss. A linear scan finds every maximal scoring segment. A segment's score becomes
-an excess over what chance gives in a text of that length (the extreme-value law of
-maximal segments), and the summed excess becomes a probability.
+The log-odds of toxic against other texts of each word, of its plain form (look-alike
+digits, separators and repeated letters undone) and of that form's beginnings have an
+informative Dirichlet prior (the corpus's own frequencies) and are drawn towards zero by
+``DRAWN`` standard errors; the strongest of a word's counts, and all words carry a small
+loss. A linear scan finds every maximal scoring segment. A segment's score becomes an
+excess over what chance gives in a text of that length (the extreme-value law of maximal
+segments), and the summed excess, or how far the best segment stays below, becomes a
+probability.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,19 +26,38 @@ from tablegauge.llm.common import Words, chunks, remainder, ruled, sliced, stage
 
 #: Labelled rows learnt from, and features kept.
 ROWS, WORDS = 20_000, 300_000
-#: Pseudo-texts of the Dirichlet prior; standard errors from which log-odds are clear.
+#: Pseudo-texts of the Dirichlet prior; standard errors by which log-odds are drawn to zero.
 PRIOR = 10.0
-CLEAR = 4.0
+DRAWN = 2.0
 #: Characters of a word's beginnings that are features like words.
 SHORTEST, LONGEST = 4, 7
 LOSS = 0.15
+SEGMENT = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("excess", pa.float64())])
 STRIPPED = ".,;:!?\"'()[]*$%&#|<>"
 
 
+#: Digits and signs that stand for letters.
+LOOK_ALIKE = str.maketrans("013457@$!|", "oieastasii")
+SEPARATORS = re.compile(r"[.\-_*+~'’]+")
+REPEATED = re.compile(r"(\w)\1+")
+
+
 def folded(word: str) -> str:
     return word.strip(STRIPPED)
 
 
+def plain(word: str) -> str:
+    """A word without look-alike signs, inner separators and repeated letters; a number
+    is itself."""
+    if word.isalpha():
+        letters = word
+    elif any(c.isalpha() for c in word):
+        letters = SEPARATORS.sub("", word.translate(LOOK_ALIKE))
+    else:
+        return word
+    return REPEATED.sub(r"\1", letters)
+
+
 def segments(values: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last + 1, score) of a sequence, in one
     pass over its positive values: each candidate joins earlier ones while that
@@ -59,13 +82,19 @@ def segments(values: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def features(word: str) -> list[str]:
-    """A word and its beginnings, marked, longest first."""
-    return [word, *(f"{word[:n]}*" for n in range(min(LONGEST, len(word) - 1), SHORTEST - 1, -1))]
+    """A word, its plain form and that form's beginnings, marked."""
+    own = plain(word)
+    return [word, f"~{own}", *(f"{own[:n]}*" for n in range(min(LONGEST, len(own) - 1), SHORTEST - 1, -1))]
+
+
+def drawn(odds: np.ndarray, error: np.ndarray) -> np.ndarray:
+    """Log-odds moved towards zero by some of their standard errors, at most to it."""
+    return np.sign(odds) * np.maximum(np.abs(odds) - DRAWN * error, 0.0)
 
 
 @dataclass
 class ToxicityModel:
-    log_odds: dict[str, float]  # of clear features
+    log_odds: dict[str, float]  # of features, drawn towards zero, where they differ from it
     scale: float  # lambda of the extreme-value law
     factor: float  # its K
     weights: tuple[float, float]  # of 1 and log(1 + excess)
@@ -74,11 +103,8 @@ class ToxicityModel:
         return max(0.0, self.scale * score - np.log(max(self.factor * tokens, 1e-300)))
 
     def value(self, word: str) -> float:
-        """A word's log-odds, or those of its longest clear beginning, less the loss."""
-        for feature in features(word):
-            if (found := self.log_odds.get(feature)) is not None:
-                return found - LOSS
-        return -LOSS
+        """The strongest log-odds among a word's features, less the loss."""
+        return max((self.log_odds.get(f, 0.0) for f in features(word)), key=abs) - LOSS
 
     def scan(self, texts: list[str]) -> list[tuple[int, list[tuple[int, int, float]]]]:
         """(number of tokens, segments) of each text."""
@@ -90,9 +116,19 @@ class ToxicityModel:
                 out.append((int(b - a), segments(values[words.at[a:b]]) if b > a else []))
         return out
 
+    def evidence(self, tokens: int, scores: list[float]) -> float:
+        """log(1 + summed excess) of a text's segments; where none has any, how far the
+        best one is below significance, between -1 and 0."""
+        total = sum(self.excess(s, tokens) for s in scores)
+        if total > 0:
+            return float(np.log1p(total))
+        if not scores:
+            return -1.0
+        below = np.log(max(self.factor * tokens, 1e-300)) - self.scale * max(scores)
+        return float(-max(below, 0.0) / (1 + max(below, 0.0)))
+
     def score(self, tokens: int, found: list[tuple[int, int, float]]) -> float:
-        total = sum(self.excess(s, tokens) for _, _, s in found)
-        z = self.weights[0] + self.weights[1] * np.log1p(total)
+        z = self.weights[0] + self.weights[1] * self.evidence(tokens, [s for _, _, s in found])
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -146,10 +182,13 @@ def fit(rows: DataFrame, words: int = WORDS) -> ToxicityModel | None:
     prior = PRIOR * (y0 + y1) / (n0 + n1)
     odds = np.log((y1 + prior) / (n1 + PRIOR - y1 - prior)) - np.log((y0 + prior) / (n0 + PRIOR - y0 - prior))
     error = np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior) + 1 / (n1 + PRIOR - y1 - prior) + 1 / (n0 + PRIOR - y0 - prior))
-    clear = np.abs(odds) / error >= CLEAR
+    odds = drawn(odds, error)
+    clear = odds != 0
     share = np.array([r["tokens"] for r in top], float)[clear] / max(whole["tokens"], 1)
     known = {r["feature"]: float(o) for r, o, keep in zip(top, odds, clear) if keep}
-    return _calibrated(ToxicityModel(known, _root(odds[clear], share), 1.0, (0.0, 0.0)), rows)
+    # Of a word's features the strongest counts: words alone, whose shares add up to no more than one.
+    single = np.array([r["feature"][0] == "~" for r, keep in zip(top, clear) if keep], bool)
+    return _calibrated(ToxicityModel(known, _root(odds[clear][single], share[single]), 1.0, (0.0, 0.0)), rows)
 
 
 def _root(scores: np.ndarray, share: np.ndarray) -> float:
@@ -183,7 +222,7 @@ def _calibrated(model: ToxicityModel, rows: DataFrame) -> ToxicityModel:
     clean = [r for r in got if not r["toxic"] and r["n"]]
     if clean:
         model.factor = len(clean) / sum(r["n"] * np.exp(-model.scale * r["best"]) for r in clean)
-    x = np.log1p([sum(model.excess(s, r["n"]) for s in r["every"]) for r in got])
+    x = np.array([model.evidence(r["n"], r["every"]) for r in got])
     y = np.array([r["toxic"] > 0 for r in got], float)
     design, w = np.stack((np.ones(len(x)), x), axis=1), np.zeros(2)
     for _ in range(30):  # Newton steps of a ridge logistic regression
@@ -194,8 +233,9 @@ def _calibrated(model: ToxicityModel, rows: DataFrame) -> ToxicityModel:
 
 
 def predict(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_segments and best_segment (first and
-    last + 1 token and score of the best passage) of every row of ``docs``.
+    """doc_id, held_out, score, predicted, n_segments, best_segment (first and last + 1
+    token and score of the best passage) and segments (all passages beyond chance: first,
+    last + 1, score, excess) of every row of ``docs``.
 
     A null or empty text has no segment and the score of one; without a model every
     score is 0. Rows repeat as in ``docs``, null doc_ids are held out, other columns
@@ -209,11 +249,14 @@ def predict(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
             found = own.scan(texts) if own else [(0, [])] * len(texts)
             score = [own.score(n, s) if own else 0.0 for n, s in found]
             best = [max(s, key=lambda x: (x[2], -x[0]), default=None) for _, s in found]
+            beyond = [[(a, b, x, e) for a, b, x in s if (e := own.excess(x, n)) > 0] if own else [] for n, s in found]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(score, pa.float64()),
                 "predicted": pa.array([int(s >= 0.5) for s in score], pa.int32()),
-                "n_segments": pa.array([sum(own.excess(x[2], n) > 0 for x in s) if own else 0 for n, s in found], pa.int64()),
-                "best_segment": pa.array(["" if b is None else f"{b[0]}:{b[1]}:{b[2]:.6g}" for b in best], pa.string())})
+                "n_segments": pa.array(list(map(len, beyond)), pa.int64()),
+                "best_segment": pa.array(["" if b is None else f"{b[0]}:{b[1]}:{b[2]:.6g}" for b in best], pa.string()),
+                "segments": pa.array([[dict(zip(SEGMENT.names, x)) for x in s] for s in beyond], pa.list_(SEGMENT))})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out().alias("held_out"))
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int, n_segments long, best_segment string")
+    return rows.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int, n_segments long, best_segment string, "
+                             "segments array<struct<first: bigint, last: bigint, score: double, excess: double>>")
