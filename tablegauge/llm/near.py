@@ -13,10 +13,12 @@ share a bucket and are alike are always in one class.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,10 @@ K = 5
 PICKED = 3
 SKETCHES = 40
 SIMILAR = 0.8
+#: Words from which an alignment through shared k-mers is tried before a full one.
+LONG = 2000
+#: Texts whose lengths differ by more than a class are not alike.
+CLASS = math.log(1 / SIMILAR) + 1e-9
 #: Texts of a bucket that are compared with one another, or with as many more, in one step.
 BLOCK = 256
 MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -126,55 +132,75 @@ def anchored(a: np.ndarray, b: np.ndarray, k: int = 3) -> int:
     return int(max(i[0], j[0]) + between.sum() + max(len(a) - i[-1] - k, len(b) - j[-1] - k))
 
 
+def spots(words: np.ndarray) -> tuple[dict[int, list[int]], dict[int, int]]:
+    """Where each word stands; of words that stand in more than four places also as bits."""
+    places: dict[int, list[int]] = {}
+    for i, word in enumerate(words.tolist()):
+        places.setdefault(word, []).append(i)
+    return places, {word: sum(1 << i for i in at) for word, at in places.items() if len(at) > 4}
+
+
+def banded(a: np.ndarray, b: np.ndarray, most: int, known: tuple | None = None) -> bool:
+    """Whether ``most`` edits turn a into b, by a column-wise alignment in a band.
+    ``known``: the ``spots`` of a, which then must not be the shorter one.
+
+    Only the cells within ``most`` of the diagonal count. A column's are held as the bits
+    of whole numbers that say where values rise or fall by one from cell to cell; the
+    next column follows from them by a few operations on all bits at once.
+    """
+    if known is None and len(a) < len(b):
+        a, b = b, a
+    places, often = known or spots(a)
+    # Bit k of a column j stands for row j + k - most; rows count from 1.
+    width = 2 * most + 1
+    mask, top, centre = (1 << width) - 1, 1 << (width - 1), 1 << most
+    rise, fall = mask ^ ((centre << 1) - 1), (centre << 1) - 1
+    extra, on_diagonal = len(a) - len(b), 0
+    for j, word in enumerate(b.tolist()):
+        shift = j - most  # of the row whose bit is the lowest, counted from 0
+        if (same := often.get(word)) is not None:
+            same = (same >> shift if shift >= 0 else same << -shift) & mask
+        else:
+            same = 0
+            for i in places.get(word, ()):
+                if 0 <= i - shift < width:
+                    same |= 1 << (i - shift)
+        rise, fall = (rise >> 1) | top, fall >> 1  # the same rows, a column later
+        level = (((same & rise) + rise) ^ rise | same | fall) & mask  # as its upper left neighbour
+        if not level & centre:
+            on_diagonal += 1
+            if on_diagonal > most + extra:
+                return False
+        up, down = (fall | ~(level | rise)) & mask, level & rise  # from the column before
+        up = up << 1 | 1
+        rise, fall = (down << 1 | ~(level | up)) & mask, up & level
+    below = ((1 << extra) - 1) << (most + 1)
+    return on_diagonal + (rise & below).bit_count() - (fall & below).bit_count() <= most
+
+
 def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     """Whether ``most`` edits (insertions, deletions, substitutions) turn a into b.
 
-    An alignment through shared k-mers settles most pairs that are alike, counts of
-    shared q-grams most that are not. Else furthest points are kept per diagonal, in
-    the band of diagonals that ``most`` edits can reach.
+    Equal places settle many pairs that are alike, counts of shared q-grams most that are
+    not; an alignment in a band of what is between the common ends decides the others.
     """
     if abs(len(a) - len(b)) > most:
         return False
     short = min(len(a), len(b))
     differ = np.flatnonzero(a[:short] != b[:short])
-    if (len(a) == len(b) and len(differ) <= most) or anchored(a, b) <= most:
+    if len(a) == len(b) and len(differ) <= most:
         return True
-    for q in (3, 2, 1):  # an edit changes at most q of the q-grams
+    for q in (3, 2):  # an edit changes at most q of the q-grams
         if shared(a, b, q) < max(len(a), len(b)) - q + 1 - q * most:
             return False
+    if short > LONG and anchored(a, b) <= most:
+        return True
     front = int(differ[0]) if len(differ) else short
     a, b = a[front:], b[front:]
     short = min(len(a), len(b))
     differ = np.flatnonzero(a[len(a) - short:][::-1] != b[len(b) - short:][::-1])
     back = int(differ[0]) if len(differ) else short
-    a, b = a[:len(a) - back], b[:len(b) - back]
-    n, m = len(a), len(b)
-    unequal: dict[int, np.ndarray] = {}
-
-    def slide(i: int, k: int) -> int:
-        """The first row from i on where diagonal k differs or ends."""
-        stop = min(n, m - k)
-        if i >= stop:
-            return i
-        if (rows := unequal.get(k)) is None:
-            low = max(0, -k)
-            rows = unequal[k] = np.append(np.flatnonzero(a[low:stop] != b[low + k:stop + k]) + low, stop).astype(np.int32)
-        return int(rows[rows.searchsorted(i)])
-
-    goal, far = m - n, {0: slide(0, 0)}
-    for edits in range(most + 1):
-        if far.get(goal, -1) >= n:
-            return True
-        spare = most - edits - 1
-        now: dict[int, int] = {}
-        for k in range(max(-edits - 1, goal - spare), min(edits + 1, goal + spare) + 1):
-            i = max(far.get(k, -2) + 1, far.get(k - 1, -2), far.get(k + 1, -2) + 1)
-            if i >= 0:
-                i = min(i, n, m - k)
-                if i >= max(0, -k):
-                    now[k] = slide(i, k)
-        far = now
-    return False
+    return banded(a[:len(a) - back], b[:len(b) - back], most)
 
 
 def alike(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> bool:
@@ -257,14 +283,17 @@ def aligned(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(verify, "u binary, v binary")
 
 
-def profile(words: list[np.ndarray], width: int) -> np.ndarray:
-    """How many of each text's words, told apart by occurrence, fall in each of
-    ``width`` cells: products bound the words that two texts share from above."""
-    out = np.zeros((len(words), width), np.float32)
-    for row, own in zip(out, words):
-        cells = labelled(mixed(own.astype(np.uint64))) % np.uint64(width)
-        row += np.bincount(cells.astype(np.int64), minlength=width)
-    return out
+def shares(left: list[np.ndarray], right: list[np.ndarray], q: int) -> np.ndarray:
+    """How many q-grams, told apart by occurrence, each text of ``left`` shares with each
+    of ``right``: a product of 0/1 rows over the q-grams that some two texts share."""
+    grams = [labelled(kmers(w.astype(np.uint64), q)) if len(w) >= q else np.zeros(0, np.uint64) for w in (*left, *right)]
+    codes, unique = pd.factorize(np.concatenate(grams))
+    common = np.bincount(codes, minlength=len(unique)) > 1
+    column = np.cumsum(common) - 1
+    texts = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    cells = np.zeros((len(grams), int(common.sum())), np.float32)
+    cells[texts[common[codes]], column[codes[common[codes]]]] = 1
+    return cells[:len(left)] @ cells[len(left):].T
 
 
 def joined_pairs(slot: int, crossing: bool, side: np.ndarray, roots: list[bytes], sketch: np.ndarray, words: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
@@ -288,16 +317,18 @@ def joined_pairs(slot: int, crossing: bool, side: np.ndarray, roots: list[bytes]
         if not open_.any():
             return []
         open_ &= sketch[i, earlier][:, None] != sketch[j, earlier][None, :]
+    share = np.zeros(open_.shape, np.float32)
+    if open_.sum() > 8:
+        for grams in (3, 2, 4, 1):
+            rows, columns = open_.any(axis=1), open_.any(axis=0)
+            if not rows.any():
+                return []
+            share = np.zeros(open_.shape, np.float32)
+            share[np.ix_(rows, columns)] = shares([words[x] for x in i[rows]], [words[x] for x in j[columns]], grams)
+            open_ &= share >= longest - grams + 1 - grams * most
     p, q = open_.nonzero()
-    if not len(p):
-        return []
-    if len(p) > 8:
-        cells = profile(words, min(16_384, 1 << int(4 * size.max()).bit_length()))
-        share = (cells[i] @ cells[j].T)[p, q]
-        enough = share >= (longest - most)[p, q]
-        p, q, share = p[enough], q[enough], share[enough]
-        order = (-share / longest[p, q]).argsort(kind="stable")
-        p, q = p[order], q[order]
+    order = (-share[p, q] / longest[p, q]).argsort(kind="stable")
+    p, q = p[order], q[order]
     head = list(range(int(root.max()) + 1))
 
     def find(r: int) -> int:
@@ -305,10 +336,25 @@ def joined_pairs(slot: int, crossing: bool, side: np.ndarray, roots: list[bytes]
             head[r] = r = head[head[r]]
         return r
 
+    prepared: dict[int, tuple] = {}
+
+    def linked(x: int, y: int) -> bool:
+        """Whether two texts that share q-grams enough are alike."""
+        if size[x] < size[y]:
+            x, y = y, x
+        most = int((1 - SIMILAR) * size[x] + 1e-9)
+        if size[x] > LONG:
+            return within(words[x], words[y], most)
+        if size[x] == size[y] and int((words[x] != words[y]).sum()) <= most:
+            return True
+        if x not in prepared:
+            prepared[x] = spots(words[x])
+        return banded(words[x], words[y], most, prepared[x])
+
     links = []
     for x, y in zip(i[p].tolist(), j[q].tolist()):
         u, v = find(int(root[x])), find(int(root[y]))
-        if u != v and alike(words[x], words[y]):
+        if u != v and linked(x, y):
             head[u] = v
             links.append((roots[x], roots[y]))
     return links
@@ -317,15 +363,27 @@ def joined_pairs(slot: int, crossing: bool, side: np.ndarray, roots: list[bytes]
 def remaining(joined: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (u, v) of roots by all pairs that share a bucket and are not connected.
 
-    A bucket whose members have one root is done. The members of another are dealt
-    over blocks of about ``BLOCK`` texts, and every two blocks meet in one group.
+    A bucket whose members have one root is done. Members of another are dealt by length
+    class, and by whether they have the bucket's largest root, over blocks of about
+    ``BLOCK`` texts. Two blocks meet in one group, unless both hold the largest root or
+    their lengths are too different for any pair to be alike.
     """
     member = memberships(nodes).join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    state = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = staged(member.join(state.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
+    open_ = member.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket")
+    classed = member.join(open_, "bucket").withColumn("class", F.floor(F.log(F.col("n_words")) / CLASS).cast("long"))
+    left = staged(classed)
+    largest = left.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"))
+    left = left.join(largest.select("bucket", F.col("most.root").alias("top")), "bucket").withColumn("main", (F.col("root") == F.col("top")).cast("long"))
+    blocks = left.groupBy("bucket", "class", "main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    met = blocks.select("bucket", F.col("class").alias("class_"), F.col("main").alias("main_"), F.col("blocks").alias("blocks_"))
     words = spelled(left.select("key"), docs, nodes)
-    every = left.select("key", "root", "slot", "bucket", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+
+    def number(cls: str, main: str, block: Column) -> Column:
+        return F.shiftleft(2 * F.col(cls) + F.col(main), 32) + block
+
+    own = left.join(blocks, ["bucket", "class", "main"]).withColumn("block", number("class", "main", F.pmod(F.xxhash64("key"), F.col("blocks"))))
+    every = own.join(met, "bucket").where("abs(class - class_) <= 1 AND main + main_ < 2")
+    every = every.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks_") - 1))).withColumn("other", number("class_", "main_", F.col("other")))
     group = ["bucket", "low", "high"]
     dealt = every.select(
         "key", "root", "slot", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
@@ -334,7 +392,8 @@ def remaining(joined: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(of: tuple, rows: list[dict]) -> pa.RecordBatch:
-            found = joined_pairs(
+            alone = len({r["root"] for r in rows}) == 1 or (of[1] != of[2] and len({r["side"] for r in rows}) == 1)
+            found = [] if alone else joined_pairs(
                 rows[0]["slot"], of[1] != of[2], np.array([r["side"] for r in rows]), [r["root"] for r in rows],
                 np.array([r["sketch"] for r in rows], np.int64), [np.frombuffer(r["words"], np.uint32) for r in rows])
             return pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in found], pa.binary()), "v": pa.array([v for _, v in found], pa.binary())})
