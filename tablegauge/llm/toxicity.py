@@ -180,8 +180,9 @@ def fit(rows: DataFrame, words: int = WORDS) -> ToxicityModel | None:
     n0, n1 = whole["clean"], whole["toxic"]
     y0, y1 = (np.array([r[k] for r in top], float) for k in ("clean", "toxic"))
     prior = PRIOR * (y0 + y1) / (n0 + n1)
-    odds = np.log((y1 + prior) / (n1 + PRIOR - y1 - prior)) - np.log((y0 + prior) / (n0 + PRIOR - y0 - prior))
-    error = np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior) + 1 / (n1 + PRIOR - y1 - prior) + 1 / (n0 + PRIOR - y0 - prior))
+    without1, without0 = (np.maximum(n + PRIOR - y - prior, 0.5) for n, y in ((n1, y1), (n0, y0)))  # none: in every text
+    odds = np.log((y1 + prior) / without1) - np.log((y0 + prior) / without0)
+    error = np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior) + 1 / without1 + 1 / without0)
     odds = drawn(odds, error)
     clear = odds != 0
     share = np.array([r["tokens"] for r in top], float)[clear] / max(whole["tokens"], 1)
