@@ -36,7 +36,7 @@ def usable() -> Column:
 
 def quantised(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 vectors, their scale, the square of their length and the rounding error."""
-    scale = np.abs(vectors).max(axis=1) / 127
+    scale = np.maximum(np.abs(vectors).max(axis=1) / 127, np.finfo(float).tiny)
     small = np.rint(vectors / scale[:, None]).astype(np.int8)
     near = small * scale[:, None]
     return small, scale, (near ** 2).sum(axis=1), np.sqrt(((vectors - near) ** 2).sum(axis=1))
@@ -80,19 +80,22 @@ class Nearest:
 
 def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, best: Nearest, step: int = 512, pairs: int = 500_000) -> None:
     """Adds to ``best`` what candidates c give queries q; a row's own id is left out."""
-    small, scale, square, error = quantised(c)
+    # Bounds are taken of vectors brought near one by a power of two, so that no square
+    # passes what a double holds, however large or small the components are.
+    unit = 2.0 ** int(np.clip(-np.frexp(max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)))[1], -1000, 1000))
+    small, scale, square, error = quantised(c * unit)
     exact = np.float32 if c.shape[1] <= 1000 else np.float64  # products of int8 stay exact
     other = small.astype(exact).T
     for at in range(0, len(q), step):
         own, ids = q[at:at + step], q_ids[at:at + step]
-        s, sc, sq, er = quantised(own)
+        s, sc, sq, er = quantised(own * unit)
         dot = (s.astype(exact) @ other).astype(np.float64)
         near = np.sqrt(np.maximum(sq[:, None] + square[None, :] - 2 * sc[:, None] * scale[None, :] * dot, 0))
         slack = er[:, None] + error[None, :] + 1e-7 * (np.sqrt(sq)[:, None] + np.sqrt(square)[None, :])
         high = near + slack
         high[ids[:, None] == c_ids[None, :]] = np.inf
         kth = np.partition(high, best.k - 1, axis=1)[:, best.k - 1] if high.shape[1] >= best.k else np.full(len(own), np.inf)
-        keep = (near - slack <= np.minimum(kth, best.limit(ids))[:, None]) & np.isfinite(high)
+        keep = (near - slack <= np.minimum(kth, best.limit(ids) * unit)[:, None]) & np.isfinite(high)
         row, column = np.nonzero(keep)
         for part in range(0, len(row), pairs):
             r, k = row[part:part + pairs], column[part:part + pairs]
