@@ -32,7 +32,9 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 COVERED = 80
 UNNAMED = "und"
 #: Symbols (words and ends of pieces) of a shard, and of all shards a task fills at once.
-SHARD, HELD = 1 << 19, 1 << 21
+SHARD, HELD = 1 << 18, 1 << 20
+#: Characters cut into words at once.
+CHARS = 500_000
 #: Hashes that one range of the hash space receives, about.
 RANGE = 1 << 20
 SEED = np.uint64(0xD6E8FEB86659FD93)
@@ -63,7 +65,7 @@ class Sequence:
         first, last = edges[0::2], edges[1::2]
         if not len(first):
             return
-        room = 1 << max(21, len(raw).bit_length())
+        room = 1 << max(20, len(raw).bit_length())
         with np.errstate(over="ignore"):
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[raw] * _powers(room, RADIX)[:len(raw)], dtype=np.uint64)))
             hashes = mixed((sums[last] - sums[first]) * _powers(room, pow(RADIX, -1, 1 << 64))[first] + (last - first).astype(np.uint64) * SEED)
@@ -106,7 +108,7 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
             frame = batch.to_pandas()
             for lang, own in frame.groupby("lang", sort=False)["text"]:
                 texts = own.tolist()
-                for part in chunks(texts):
+                for part in chunks(texts, CHARS):
                     of = filling.setdefault(lang, Sequence())
                     of.add(texts[part])
                     if of.symbols >= size:
@@ -310,6 +312,7 @@ def counted(docs: DataFrame, least: int = LEAST, size: int = SHARD) -> tuple[Dat
                 for i in range(batch.num_rows):
                     row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                     yield from use(row, Shard(row["lang"], row.pop("words"), row.pop("ids")))
+                    pa.default_memory_pool().release_unused()
 
         return work
 
