@@ -74,6 +74,62 @@ def _(x):
                                   ("", fixed.UNKNOWN)), ["invoice_id", "invoice_date"])
 
 
+def _rendered():
+    """Orders' dates in six forms, every 11th written otherwise or not at all; both
+    engines run this text. ``doubtful`` has no day past 12, so either order fits."""
+    y, m, day = "substr(d, 1, 4)", "substr(d, 6, 2)", "substr(d, 9, 2)"
+    short = "CAST(CAST({} AS INT) AS VARCHAR(4))".format
+    name = f"substr('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * CAST({m} AS INT) - 2, 3)"
+    slashed = f"concat({m}, '/', {day}, '/', {y})"
+    european = f"concat({day}, '/', {m}, '/', {y})"
+    small = "CAST(1 + o_orderkey % 12 AS VARCHAR(4))"
+    forms = {
+        "unpadded": f"concat({y}, '-', {short(m)}, '-', {short(day)})",
+        "month_first": slashed, "day_first": european,
+        "named": f"concat({name}, ' ', {short(day)}, ', ', {y})",
+        "zoned": "concat(d, 'T10:00:00Z')",
+        "doubtful": f"concat({short(m)}, '.', {small}, '.', {y})",
+    }
+    other = {"month_first": european, "day_first": slashed, "named": "d", "doubtful": "'soon'"}
+    cells = [f"CASE WHEN o_orderkey % 11 = 0 THEN {other[c]} WHEN o_orderkey % 13 = 0 THEN NULL ELSE {e} END AS {c}"
+             if c in other else f"{e} AS {c}" for c, e in forms.items()]
+    return forms, (f"SELECT o_orderkey, {', '.join(cells)} FROM "
+                   "(SELECT o_orderkey, substr(CAST(o_orderdate AS VARCHAR(30)), 1, 10) AS d FROM orders) AS o")
+
+
+FORMS, RENDERED = _rendered()
+READ = {"unpadded": "%Y-%m-%d", "month_first": "%m/%d/%Y", "day_first": "%d/%m/%Y", "named": "%b %d, %Y",
+        "zoned": "%Y-%m-%dT%H:%M:%SZ", "doubtful": "%m.%d.%Y"}
+
+
+def _read_sql():
+    out = ["o_orderkey"]
+    for c, form in READ.items():
+        out.append(f"coalesce(strftime(try_strptime({c}, '{form}'), '%Y-%m-%d'), 'UNKNOWN') AS {c}")
+        out.append(f"CASE WHEN {c} IS NOT NULL AND try_strptime({c}, '{form}') IS NULL THEN 1 ELSE 0 END AS {c}_parse_error")
+    return f"SELECT {', '.join(out)} FROM ({RENDERED}) AS r"
+
+
+def rendered(x):
+    x.table("orders").createOrReplaceTempView("orders")
+    return x.spark.sql(RENDERED)
+
+
+@query("c6_date_forms", _read_sql())
+def _(x):
+    """The form of each column by a vote of its values."""
+    return C.visible(C.normalise_dates(rendered(x), list(FORMS), CONFIG.date_formats, fixed.UNKNOWN, ("",)))
+
+
+@query("p1_types_of_date_forms", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', 'date')" for c in READ) +
+       ") AS t(\"column\", \"type\") WHERE (SELECT count(*) FROM orders) > 0")
+def _(x):
+    from tablegauge.operators.profile import infer_roles, type_table
+
+    dates = pick(rendered(x), list(FORMS))
+    return type_table(dates, infer_roles(dates))
+
+
 @query("c6_date_normalise_inferred",
        f"SELECT raw_id AS invoice_id, {cols(DATED[1:])} FROM u_clean")
 def _(x):

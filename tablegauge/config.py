@@ -12,8 +12,9 @@ class CleanConfig:
     """Settings shared by both rule sets.
 
     ``fill_number=None`` leaves missing numbers missing, so completeness sees
-    them. ``date_formats`` are tried in order; a value that fits none of them
-    is a parse error.
+    them. ``date_formats`` are tried in order, and a value that fits none of them
+    is a parse error; without any, each column's form is found by a vote of its
+    values (``functions.dates``), and values of another form are errors.
     """
 
     fill_text: str = "UNKNOWN"
@@ -22,7 +23,7 @@ class CleanConfig:
     max_amount: float = 10_000_000.0
     outlier_threshold: float = 3.0
     duplicate_keys: tuple[str, ...] = ()
-    date_formats: tuple[str, ...] = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
+    date_formats: tuple[str, ...] = ()
     #: count a custom ``fill_text`` as a placeholder when scoring completeness
     fill_is_placeholder: bool = False
 
@@ -40,9 +41,11 @@ class InvoiceConfig(CleanConfig):
 
 @dataclass(frozen=True)
 class Roles:
-    """Columns by semantic type, in table order."""
+    """Columns by semantic type, in table order; ``forms`` has the date patterns of
+    columns whose values were looked at."""
 
     types: dict[str, str] = field(default_factory=dict)
+    forms: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def _of(self, kind: str) -> list[str]:
         return [c for c, t in self.types.items() if t == kind]

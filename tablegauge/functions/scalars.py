@@ -161,8 +161,12 @@ def to_date(name: str, kind: T.DataType, formats: Sequence[str]) -> str:
 
 
 def _parse_date(e: str, pattern: str) -> str:
-    """One pattern. Fixed-width year, month and day are cut out and cast, which
-    is much cheaper than a formatter that throws on every bad value."""
+    """One pattern or date form. Fixed-width year, month and day are cut out and
+    cast, which is much cheaper than a formatter that throws on every bad value."""
+    from tablegauge.functions import dates
+
+    if pattern in dates.FORMS:
+        return dates.parse_form(e, pattern)
     if pattern in ISO_TIMES:
         shape = f"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{ISO_TIMES[pattern]}[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}([.][0-9]+)?$"
         return f"CASE WHEN {e} RLIKE {lit(shape)} THEN CAST(try_cast({e} AS TIMESTAMP_NTZ) AS DATE) END"

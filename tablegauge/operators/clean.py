@@ -7,13 +7,14 @@ Columns whose name starts with ``__`` are counters for the statistics row;
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from tablegauge import fixed
 from tablegauge.config import CleanConfig, InvoiceConfig, Roles
+from tablegauge.functions.dates import date_patterns
 from tablegauge.functions.scalars import (
     add_all, aggregate, any_of, assign, flag, is_float, is_number, is_placeholder, is_text,
     lit, missing, one_row, pick, q, strip, text, title_case, to_date, to_number, types_of, words,
@@ -114,16 +115,22 @@ def general_keys(df: DataFrame, config: CleanConfig, roles: Roles) -> list[str]:
 
 
 def normalise_dates(
-    df: DataFrame, names: Sequence[str], formats: Sequence[str], fill: str, ignore: Sequence[str]
+    df: DataFrame, names: Sequence[str], formats: Sequence[str] | Mapping[str, Sequence[str]], fill: str,
+    ignore: Sequence[str],
 ) -> DataFrame:
     """Render dates as ``yyyy-MM-dd`` text and flag what is not a date.
 
-    The parsed date is kept in a hidden column, so later rules need not parse
-    again. Values in ``ignore`` are not errors.
+    ``formats`` are the patterns of all columns, or those of each; a column that
+    has none is given the form that most of its values have, by one scan. The
+    parsed date is kept in a hidden column, so later rules need not parse again.
+    Values in ``ignore`` are not errors.
     """
     kinds = types_of(df)
     names = [c for c in names if c in kinds]
-    df = assign(df, {PARSED + c: to_date(c, kinds[c], formats) for c in names})
+    given = formats if isinstance(formats, Mapping) else {c: formats for c in names}
+    open_ = [c for c in names if not given.get(c)]
+    given = {**given, **date_patterns(df, open_)}
+    df = assign(df, {PARSED + c: to_date(c, kinds[c], given[c]) for c in names})
     out: dict[str, str] = {}
     for c in names:
         date = q(PARSED + c)
@@ -250,9 +257,11 @@ def clean_invoices(
     before = list(df.columns)
     dates = [c for c in config.date_columns if c in before]
     amounts = [c for c in config.amount_columns if c in before]
+    # Voted on as they came: a scan of the date columns, before any shuffle.
+    patterns = {c: config.date_formats for c in dates} if config.date_formats else date_patterns(df, dates)
     df = flag_and_fill(df, config)
     df = drop_duplicates(df, invoice_keys(df, config), order_by)
-    df = normalise_dates(df, dates, config.date_formats, fixed.UNKNOWN, ("", fixed.UNKNOWN))
+    df = normalise_dates(df, dates, patterns, fixed.UNKNOWN, ("", fixed.UNKNOWN))
     df = flag_ranges(df, amounts, config.min_amount, config.max_amount)
     df = standardise_currency(df, config.currencies)
     df = normalise_vendors(df, config.fill_text)
@@ -267,9 +276,14 @@ def clean_table(
 ) -> Cleaned:
     """All cleaning steps of the inferred-schema rule set, in order."""
     before = list(df.columns)
+    if config.date_formats:
+        patterns = {c: config.date_formats for c in roles.dates}
+    else:
+        unseen = [c for c in roles.dates if c not in roles.forms]
+        patterns = {**roles.forms, **date_patterns(df, unseen)}
     df = flag_and_fill(df, config)
     df = drop_duplicates(df, general_keys(df, config, roles), order_by)
-    df = normalise_dates(df, roles.dates, config.date_formats, config.fill_text,
+    df = normalise_dates(df, roles.dates, patterns, config.fill_text,
                          ("", config.fill_text, "nan", "None"))
     df = flag_ranges(df, roles.numerics, config.min_amount, config.max_amount, config.fill_number)
     df = standardise_categories(df, roles.categories, config.fill_text)

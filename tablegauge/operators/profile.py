@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from tablegauge import fixed
 from tablegauge.config import CleanConfig, Roles
+from tablegauge.functions.dates import form_bits, vote_exprs, winner
 from tablegauge.functions.scalars import (
-    aggregate, any_of, half_even, is_integer, is_number, is_text, is_time, lit, missing, percent, q,
+    aggregate, any_of, assign, half_even, is_integer, is_number, is_text, is_time, lit, missing, percent, q,
     strip, text, to_date, to_number, types_of, words,
 )
 
@@ -23,11 +24,17 @@ RECHECK_WITHIN = 0.05
 
 # --- type inference ----------------------------------------------------------------
 
+BITS = "__forms_"
+
+
 def inference_row(df: DataFrame, formats: Sequence[str]) -> DataFrame:
-    """All figures that type inference needs, as one row from one scan."""
+    """All figures that type inference needs, as one row from one scan. Without
+    ``formats``, text columns count the votes for each date form."""
     out = {"rows": "count(1)"}
+    if not formats:
+        df = assign(df, {BITS + c: form_bits(q(c)) for c, kind in types_of(df).items() if is_text(kind)})
     for c, kind in types_of(df).items():
-        if is_time(kind) or isinstance(kind, T.BooleanType):
+        if is_time(kind) or isinstance(kind, T.BooleanType) or c.startswith(BITS):
             continue
         out[f"filled_{c}"] = f"count({q(c)})"
         out[f"distinct_{c}"] = _distinct_sketch(c, kind)
@@ -35,7 +42,10 @@ def inference_row(df: DataFrame, formats: Sequence[str]) -> DataFrame:
             out[f"binary_{c}"] = f"coalesce(bool_and({q(c)} IN (0, 1)), TRUE)"
         elif is_text(kind):
             out[f"binary_{c}"] = f"bool_and(lower({strip(q(c))}) IN {words(fixed.BOOLEAN_WORDS)})"
-            out[f"dated_{c}"] = f"avg(CASE WHEN {q(c)} IS NOT NULL THEN CAST(({to_date(c, kind, formats)}) IS NOT NULL AS INT) END)"
+            if formats:
+                out[f"dated_{c}"] = f"avg(CASE WHEN {q(c)} IS NOT NULL THEN CAST(({to_date(c, kind, formats)}) IS NOT NULL AS INT) END)"
+            else:
+                out |= vote_exprs(c, q(BITS + c))
             out[f"length_{c}"] = f"avg(length({q(c)}))"
     return aggregate(df, out)
 
@@ -55,6 +65,7 @@ def infer_roles(df: DataFrame, config: CleanConfig = CleanConfig()) -> Roles:
     """
     row = inference_row(df, config.date_formats).first().asDict()
     found: dict[str, str] = {}
+    forms: dict[str, tuple[str, ...]] = {}
     for c, kind in types_of(df).items():
         if is_time(kind):
             found[c] = "date"
@@ -63,8 +74,11 @@ def infer_roles(df: DataFrame, config: CleanConfig = CleanConfig()) -> Roles:
         elif is_number(kind):
             found[c] = _number_type(df, c, kind, row)
         else:
+            if f"form0_{c}" in row:
+                forms[c], fits = winner(c, row)
+                row[f"dated_{c}"] = fits / max(row[f"filled_{c}"], 1)
             found[c] = _text_type(df, c, row)
-    return Roles(found)
+    return Roles(found, {c: forms[c] for c in forms if found[c] == "date"})
 
 
 def _number_type(df: DataFrame, c: str, kind: T.DataType, row: dict) -> str:
