@@ -43,6 +43,13 @@ def _(x):
     return pick(kept, ["invoice_id", "vendor_name", "invoice_number"])
 
 
+@query("c3_dedup_rare", "SELECT invoice_id, vendor_name, invoice_number FROM f_dedup")
+def _(x):
+    filled = C.flag_and_fill(x.invoices, F_CONFIG)
+    kept = C.drop_duplicates(filled, C.invoice_keys(filled, F_CONFIG), KEY, rare=True)
+    return pick(kept, ["invoice_id", "vendor_name", "invoice_number"])
+
+
 @query("c4_dedup_inferred_ids", "SELECT invoice_id, invoice_number, had_nulls, total_amount FROM u_dedup")
 def _(x):
     filled = C.flag_and_fill(x.ledger, CONFIG)

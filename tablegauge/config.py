@@ -24,6 +24,8 @@ class CleanConfig:
     outlier_threshold: float = 3.0
     duplicate_keys: tuple[str, ...] = ()
     date_formats: tuple[str, ...] = ()
+    #: few rows are duplicates: exchange only those that may be (``dedup.keep_first``)
+    rare_duplicates: bool = False
     #: count a custom ``fill_text`` as a placeholder when scoring completeness
     fill_is_placeholder: bool = False
 

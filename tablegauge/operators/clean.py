@@ -94,10 +94,13 @@ def flag_and_fill(df: DataFrame, config: CleanConfig) -> DataFrame:
     })
 
 
-def drop_duplicates(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """Keep the first row per key; with no keys, one of each distinct row."""
+def drop_duplicates(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], rare: bool = False
+) -> DataFrame:
+    """Keep the first row per key; with no keys, one of each distinct row. ``rare`` as
+    in ``keep_first``."""
     carry = [c for c in (NULL_CELLS, NULL_ROWS) if c in df.columns]
-    return keep_first(df, keys, order_by, carry) if keys else distinct_rows(df, carry)
+    return keep_first(df, keys, order_by, carry, rare) if keys else distinct_rows(df, carry, rare)
 
 
 def invoice_keys(df: DataFrame, config: CleanConfig) -> list[str]:
@@ -260,7 +263,7 @@ def clean_invoices(
     # Voted on as they came: a scan of the date columns, before any shuffle.
     patterns = {c: config.date_formats for c in dates} if config.date_formats else date_patterns(df, dates)
     df = flag_and_fill(df, config)
-    df = drop_duplicates(df, invoice_keys(df, config), order_by)
+    df = drop_duplicates(df, invoice_keys(df, config), order_by, config.rare_duplicates)
     df = normalise_dates(df, dates, patterns, fixed.UNKNOWN, ("", fixed.UNKNOWN))
     df = flag_ranges(df, amounts, config.min_amount, config.max_amount)
     df = standardise_currency(df, config.currencies)
@@ -282,7 +285,7 @@ def clean_table(
         unseen = [c for c in roles.dates if c not in roles.forms]
         patterns = {**roles.forms, **date_patterns(df, unseen)}
     df = flag_and_fill(df, config)
-    df = drop_duplicates(df, general_keys(df, config, roles), order_by)
+    df = drop_duplicates(df, general_keys(df, config, roles), order_by, config.rare_duplicates)
     df = normalise_dates(df, roles.dates, patterns, config.fill_text,
                          ("", config.fill_text, "nan", "None"))
     df = flag_ranges(df, roles.numerics, config.min_amount, config.max_amount, config.fill_number)
