@@ -428,7 +428,7 @@ def test_decontamination(spark, odd, empty):
 
 def test_short_items_in_every_place(spark):
     """Items of 8 to 20 tokens with none, one, two and as many words substituted as
-    the rule allows; shorter ones word by word."""
+    the rule allows; shorter ones word by word, below five only as a line."""
     items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(1, 21)}
     benchmark = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
     rng, docs, want = random.Random(4), [], set()
@@ -440,7 +440,7 @@ def test_short_items_in_every_place(spark):
             want.add((len(docs) - 1, n))
 
     for n in items:
-        put(n, (), True)
+        put(n, (), n >= 5)
         if n < 8:
             put(n, (n - 1,), False)
             continue
@@ -458,6 +458,57 @@ def test_short_items_in_every_place(spark):
     assert decontaminate.clean(docs, benchmark).count() == docs.count() - len(want)
 
 
+def test_tiny_items_only_as_line_or_text(spark):
+    benchmark = spark.createDataFrame([(1, "Yes"), (2, "no, never"), (3, "yes!"), (4, "?!"), (5, "x y z v w")], "item_id long, text string")
+    texts = ["Oh yes, it is a long good clean document", "A line.\n\n no never\r\nyes", "no\nnever", "YES", "yes\nyes", None, "", "x y z\nv w", "yes no never"]
+    docs = spark.createDataFrame([*enumerate(texts), (3, "YES")], "doc_id long, text string")
+    got = sorted(tuple(r)[:1] + tuple(r)[2:] for r in decontaminate.overlaps(docs, benchmark).collect())
+    tiny = [(1, 1, 4, 0, 1, 1), (1, 2, 2, 0, 2, 2), (1, 3, 4, 0, 1, 1), (2, 2, 0, 0, 2, 2), (3, 1, 0, 0, 1, 1), (3, 1, 0, 0, 1, 1),
+            (3, 3, 0, 0, 1, 1), (3, 3, 0, 0, 1, 1), (4, 1, 0, 0, 1, 1), (4, 1, 1, 0, 1, 1), (4, 3, 0, 0, 1, 1), (4, 3, 1, 0, 1, 1), (7, 5, 0, 0, 5, 5)]
+    assert got == tiny
+    assert {r["doc_id"] for r in decontaminate.clean(docs, benchmark).collect()} == {0, 5, 6, 8}
+    assert decontaminate.overlaps(docs.limit(0), benchmark).count() == 0
+
+
+def plain_runs(equal):
+    """All best runs, looked for from each place on by itself."""
+    out, first = [], 0
+    while first < len(equal):
+        best, hi, score, at = 0, first, 0, first
+        while at < len(equal):
+            score += 1 if equal[at] else -2
+            at += 1
+            if score <= 0 or score <= best - decontaminate.DROP:
+                break
+            if score > best:
+                best, hi = score, at
+        same = sum(equal[first:hi])
+        if hi - first >= 12 and same >= 10 and same >= 0.75 * (hi - first):
+            out.append((first, hi, same))
+        first = at
+    return out
+
+
+def test_every_run_of_a_diagonal(spark):
+    rng = random.Random(8)
+    cases = [[1] * 25 + [0] * 20 + [1] * 25, [1] * 25 + [0] * 7 + [1] * 20, [1] * 25 + [0] * 5 + [1] * 25, [1] * 11, [1] * 12, [], [0] * 40]
+    cases += [[int(rng.random() < rng.choice((0.5, 0.8, 0.95))) for _ in range(rng.randrange(90))] for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, equal array<int>").select("i", decontaminate.runs(F.col("equal")).alias("runs"))
+    got = {r["i"]: [tuple(x) for x in r["runs"]] for r in rows.collect()}
+    assert got == {i: plain_runs(c) for i, c in enumerate(cases)}
+    assert [len(got[i]) for i in range(7)] == [2, 2, 1, 0, 1, 0, 0]
+
+
+def test_two_passages_of_one_item(spark):
+    item = [f"q{i}" for i in range(70)]
+    text = item[:25] + [f"new{i}" for i in range(20)] + item[45:]
+    far = "start " + " ".join(item[:25]) + " " + " ".join(f"far{i}" for i in range(9000)) + " " + " ".join(item[45:])
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, far)], "doc_id long, text string")
+    got = decontaminate.overlaps(docs, spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["doc_start"], r["item_start"], r["n_tokens"]) for r in got) == [
+        (1, 0, 0, 25), (1, 45, 45, 25), (2, 1, 0, 25), (2, 9026, 45, 25)]
+
+
 # --- neighbours (9) ---
 
 def test_neighbours_equal_brute_force(spark):
