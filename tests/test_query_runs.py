@@ -157,6 +157,39 @@ def test_run_store(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(dataset_signature" in plan
 
 
+def test_run_store_appends_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "runs")
+    first = runs(spark, run("a", sig="s1"), run("b", sig="s2"))
+
+    def names(at=path):
+        return sorted(r["dataset_name"] for r in runstore.load_runs(spark, at).collect())
+
+    for _ in range(2):  # equal rows are one append
+        runstore.save_runs(first, path)
+        assert names() == ["a", "b"]
+    with monkeypatch.context() as broken:
+        broken.setattr(runstore, "commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            runstore.save_runs(runs(spark, run("c", sig="s1")), path, batch="c1")
+    assert names() == ["a", "b"]
+    for _ in range(2):
+        runstore.save_runs(runs(spark, run("c", sig="s1")), path, batch="c1")
+        assert names() == ["a", "b", "c"]
+    # Two writers commit the same batch.
+    monkeypatch.setattr(runstore, "commits", lambda *_: spark.createDataFrame([], "batch string, attempt string"))
+    runstore.save_runs(runs(spark, run("c", sig="s1")), path, batch="c1")
+    monkeypatch.undo()
+    assert names() == ["a", "b", "c"]
+    for _ in range(2):
+        runstore.compact_runs(spark, path, str(tmp_path / "small"))
+        assert names(str(tmp_path / "small")) == ["a", "b", "c"]
+    twice = runs(spark, run("d", sig="s3"), run("d", sig="s3"))  # repeated rows of one append stay
+    runstore.save_runs(twice, path)
+    assert names() == ["a", "b", "c", "d", "d"]
+    with pytest.raises(ValueError):
+        runstore.compact_runs(spark, path, str(tmp_path / "small"))
+
+
 def test_csv_scan(spark, tmp_path):
     (tmp_path / "a.csv").write_text("n,x,name,flag\n1,1.5,N/A,True\n2,NULL,  pad ,False\n3,nan,b,True\n")
     df = readers.read_csv(spark, str(tmp_path / "a.csv"))
