@@ -64,61 +64,78 @@ def _distinct_sketch(name: str, kind: T.DataType) -> str:
 def infer_roles(df: DataFrame, config: CleanConfig = CleanConfig()) -> Roles:
     """Semantic type of every column, from one aggregate over the whole table.
 
-    Distinct counts come from a sketch; only where its estimate is close to a
-    limit is that column counted exactly. The driver sees a single row.
+    Distinct counts come from a sketch; the columns where its estimate is close to a
+    limit are counted exactly, all in one more job. The driver sees a single row, and
+    one count per such column.
     """
     row = inference_row(df, config.date_formats).first().asDict()
-    found: dict[str, str] = {}
     forms: dict[str, tuple[str, ...]] = {}
+    for c in df.columns:
+        if f"form0_{c}" in row:
+            forms[c], fits = winner(c, row)
+            row[f"dated_{c}"] = fits / max(row[f"filled_{c}"], 1)
+    near = [c for c, kind in types_of(df).items() if _is_borderline(c, kind, row)]
+    if near:
+        counted = {r["column"]: r["n_values"] for r in distinct_counts(df, near).collect()}
+        row |= {f"distinct_{c}": counted.get(c, 0) for c in near}
+    found: dict[str, str] = {}
     for c, kind in types_of(df).items():
         if is_time(kind):
             found[c] = "date"
         elif isinstance(kind, T.BooleanType):
             found[c] = "boolean"
         elif is_number(kind):
-            found[c] = _number_type(df, c, kind, row)
+            found[c] = _number_type(c, kind, row)
         else:
-            if f"form0_{c}" in row:
-                forms[c], fits = winner(c, row)
-                row[f"dated_{c}"] = fits / max(row[f"filled_{c}"], 1)
-            found[c] = _text_type(df, c, row)
+            found[c] = _text_type(c, row)
     return Roles(found, {c: forms[c] for c in forms if found[c] == "date"})
 
 
-def _number_type(df: DataFrame, c: str, kind: T.DataType, row: dict) -> str:
+def _is_whole(c: str, kind: T.DataType, row: dict) -> bool:
+    return is_integer(kind) and row[f"filled_{c}"] == row["rows"]
+
+
+def _few(row: dict) -> float:
+    return max(30, max(row["rows"], 1) * 0.05)
+
+
+def _is_borderline(c: str, kind: T.DataType, row: dict) -> bool:
+    """Whether the sketched distinct count is so near a limit that its error decides."""
+    rows = max(row["rows"], 1)
+    if f"distinct_{c}" not in row or row.get(f"binary_{c}"):
+        return False
+    if is_number(kind):
+        limits = [0.90 * rows] if _is_whole(c, kind, row) else []
+    elif row[f"filled_{c}"] and f"length_{c}" in row and row[f"dated_{c}"] <= 0.70:
+        limits = [0.85 * rows, _few(row)]
+    else:
+        limits = []
+    return any(abs(row[f"distinct_{c}"] - limit) <= RECHECK_WITHIN * limit for limit in limits)
+
+
+def _number_type(c: str, kind: T.DataType, row: dict) -> str:
     if row[f"binary_{c}"]:
         return "boolean"
-    rows = max(row["rows"], 1)
-    whole = is_integer(kind) and row[f"filled_{c}"] == row["rows"]
-    if whole and _distinct(df, c, row, [0.90 * rows]) / rows > 0.90:
+    if _is_whole(c, kind, row) and row[f"distinct_{c}"] / max(row["rows"], 1) > 0.90:
         return "id"
     return "numeric"
 
 
-def _text_type(df: DataFrame, c: str, row: dict) -> str:
-    rows = max(row["rows"], 1)
+def _text_type(c: str, row: dict) -> str:
     if row[f"filled_{c}"] == 0 or f"length_{c}" not in row:
         return "text"
     if row[f"binary_{c}"]:
         return "boolean"
     if row[f"dated_{c}"] > 0.70:
         return "date"
-    few = max(30, rows * 0.05)
-    distinct, length = _distinct(df, c, row, [0.85 * rows, few]), row[f"length_{c}"]
-    if distinct / rows > 0.85 and length < 40:
+    distinct, length = row[f"distinct_{c}"], row[f"length_{c}"]
+    if distinct / max(row["rows"], 1) > 0.85 and length < 40:
         return "id"
-    if distinct <= few:
+    if distinct <= _few(row):
         return "categorical"
     return "text" if length > 60 else "categorical"
 
 
-def _distinct(df: DataFrame, c: str, row: dict, limits: Sequence[float]) -> int:
-    estimate = row[f"distinct_{c}"]
-    if any(abs(estimate - limit) <= RECHECK_WITHIN * limit for limit in limits):
-        return df.selectExpr(q(c)).filter(f"{q(c)} IS NOT NULL").distinct().count()
-    return estimate
-
-
 def type_table(df: DataFrame, roles: Roles) -> DataFrame:
     """``column, type`` rows, one per column of the table."""
     rows = [(c, roles.types[c]) for c in df.columns]

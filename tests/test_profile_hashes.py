@@ -33,3 +33,19 @@ def test_only_hashes_are_exchanged(spark):
     plan = P.distinct_counts(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
     exchanged = [line for line in plan.splitlines() if "Exchange" in line]
     assert exchanged and all("hashpartitioning(i#" in line for line in exchanged)
+
+
+def test_borderline_columns_are_counted_in_one_pass(spark, monkeypatch):
+    n = 2000
+    df = spark.range(n).selectExpr(
+        "id AS all_ids", f"id % {int(n * 0.9)} AS at_limit", f"id % {int(n * 0.9) + 1} AS above_limit",
+        f"concat('k', id % {int(n * 0.85)}) AS text_at_limit", f"concat('k', id % {int(n * 0.85) + 1}) AS text_above",
+        "concat('a long text that no one would take for a key, as it has more than sixty letters ', id % 100) AS few_texts",
+        "concat('a long text that no one would take for a key, as it has more than sixty letters ', id % 101) AS more_texts",
+        "CAST(NULL AS STRING) AS nothing")
+    calls, real = [], P.distinct_counts
+    monkeypatch.setattr(P, "distinct_counts", lambda d, names: calls.append(list(names)) or real(d, names))
+    assert P.infer_roles(df).types == {
+        "all_ids": "id", "at_limit": "numeric", "above_limit": "id", "text_at_limit": "categorical", "text_above": "id",
+        "few_texts": "categorical", "more_texts": "text", "nothing": "text"}
+    assert calls == [["at_limit", "above_limit", "text_at_limit", "text_above", "few_texts", "more_texts"]]
