@@ -60,18 +60,41 @@ def _cut(e: str, shape: str, year: int, month: int, day: int) -> str:
 def form_bits(e: str) -> str:
     """SQL for the forms in which text ``e`` is a date, as bits in the order of
     ``FORMS``; fixed-width ISO has the bit after them instead. Shapes exclude one
-    another, so a value is matched against few expressions."""
+    another, so a value is matched against few expressions: ten bytes that cast to a
+    date need none, and a few characters tell which of the others may fit."""
     def valid(form: str) -> str:
         return f"CAST({_cut(e, *FORMS[form])} IS NOT NULL AS INT)"
 
+    def separator(place: int) -> str:
+        return f"substr({e}, {place}, 1) IN ('-', '/', '.')"
+
+    def digit(place: int) -> str:
+        return f"ascii(substr({e}, {place}, 1)) BETWEEN 48 AND 57"
+
+    plain = (f"octet_length({e}) = 10 AND substr({e}, 5, 1) = '-' AND substr({e}, 8, 1) = '-' AND {digit(10)} "
+             f"AND try_cast({e} AS DATE) IS NOT NULL")
+    named = f"instr('jfmasondJFMASOND', left({e}, 1)) > 0"
     return f"""CASE
-        WHEN {e} RLIKE {lit(_YEAR)} THEN {valid('year-first')} * CASE WHEN {e} RLIKE {lit(_ISO)} THEN 32 ELSE 1 END
-        WHEN {e} RLIKE {lit(_NUMERIC)} THEN 2 * {valid('month-first')} + 4 * {valid('day-first')}
-        WHEN {e} RLIKE {lit(_NAMED_MONTH)} THEN 8 * {valid('named month')}
-        WHEN {e} RLIKE {lit(_NAMED_DAY)} THEN 16 * {valid('named day')}
+        WHEN {plain} THEN 32
+        WHEN {separator(5)} AND {e} RLIKE {lit(_YEAR)}
+            THEN {valid('year-first')} * CASE WHEN {e} RLIKE {lit(_ISO)} THEN 32 ELSE 1 END
+        WHEN ({separator(2)} OR {separator(3)}) AND {e} RLIKE {lit(_NUMERIC)}
+            THEN 2 * {valid('month-first')} + 4 * {valid('day-first')}
+        WHEN {named} AND {e} RLIKE {lit(_NAMED_MONTH)} THEN 8 * {valid('named month')}
+        WHEN {digit(1)} AND NOT {digit(3)} AND {e} RLIKE {lit(_NAMED_DAY)} THEN 16 * {valid('named day')}
         ELSE 0 END"""
 
 
+def all_form_bits(names: Sequence[str]) -> str:
+    """SQL for the form bits of several text columns, as an array in their order.
+
+    One lambda serves all columns. Written out for each, the expressions fill a
+    generated method that is too large for the JVM to compile, and run several times
+    slower.
+    """
+    return f"transform(array({', '.join(q(c) for c in names)}), value -> {form_bits('value')})"
+
+
 def vote_exprs(column: str, bits: str) -> dict[str, str]:
     """Aggregates that count the votes of a column whose form bits are ``bits``."""
     return {f"form{i}_{column}": f"count_if(({bits} & {1 << i}) != 0)" for i in range(len(FORMS) + 1)}
@@ -98,7 +121,8 @@ def date_patterns(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[str, .
     texts = [c for c in names if c in kinds and is_text(kinds[c])]
     out = {c: ISO_FORMATS for c in names}
     if texts:
-        bits = df.selectExpr(*[f"{form_bits(q(c))} AS {q(c)}" for c in texts])
-        row = aggregate(bits, {n: e for c in texts for n, e in vote_exprs(c, q(c)).items()}).first().asDict()
+        bits = df.selectExpr(f"{all_form_bits(texts)} AS bits")
+        row = aggregate(bits, {
+            n: e for i, c in enumerate(texts) for n, e in vote_exprs(c, f"bits[{i}]").items()}).first().asDict()
         out |= {c: winner(c, row)[0] for c in texts}
     return out

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tablegauge import fixed
 from tablegauge.config import CleanConfig, Roles
-from tablegauge.functions.dates import form_bits, vote_exprs, winner
+from tablegauge.functions.dates import all_form_bits, vote_exprs, winner
 from tablegauge.functions.scalars import (
     aggregate, any_of, assign, half_even, is_integer, is_number, is_text, is_time, lit, missing, percent, q,
     strip, text, to_date, to_number, types_of, words,
@@ -28,37 +28,60 @@ RECHECK_WITHIN = 0.05
 
 # --- type inference ----------------------------------------------------------------
 
-BITS = "__forms_"
+BITS = "__forms"
 
 
 def inference_row(df: DataFrame, formats: Sequence[str]) -> DataFrame:
     """All figures that type inference needs, as one row from one scan. Without
-    ``formats``, text columns count the votes for each date form."""
-    out = {"rows": "count(1)"}
-    if not formats:
-        df = assign(df, {BITS + c: form_bits(q(c)) for c, kind in types_of(df).items() if is_text(kind)})
-    for c, kind in types_of(df).items():
-        if is_time(kind) or isinstance(kind, T.BooleanType) or c.startswith(BITS):
+    ``formats``, text columns count the votes for each date form.
+
+    What the aggregates read is projected first: a hash per column, and what is asked of
+    texts. The sketches then take whole numbers, and no expression runs inside them.
+    """
+    kinds = types_of(df)
+    texts = [c for c, kind in kinds.items() if is_text(kind)]
+    seen, out = {}, {"rows": "count(1)"}
+    if texts and not formats:
+        seen[BITS] = all_form_bits(texts)
+    for i, (c, kind) in enumerate(kinds.items()):
+        if is_time(kind) or isinstance(kind, T.BooleanType):
             continue
-        out[f"filled_{c}"] = f"count({q(c)})"
-        out[f"distinct_{c}"] = _distinct_sketch(c, kind)
+        seen[f"hash{i}"] = _hash(c, kind)
+        out[f"filled_{c}"] = f"count(hash{i})"
+        out[f"distinct_{c}"] = _sketch(f"hash{i}")
         if is_number(kind):
-            out[f"binary_{c}"] = f"coalesce(bool_and({q(c)} IN (0, 1)), TRUE)"
+            seen[f"binary{i}"] = f"{q(c)} IN (0, 1)"
+            out[f"binary_{c}"] = f"coalesce(bool_and(binary{i}), TRUE)"
         elif is_text(kind):
-            out[f"binary_{c}"] = f"bool_and(lower({strip(q(c))}) IN {words(fixed.BOOLEAN_WORDS)})"
+            seen[f"binary{i}"] = _is_boolean_word(q(c))
+            seen[f"length{i}"] = f"length({q(c)})"
+            out[f"binary_{c}"] = f"bool_and(binary{i})"
             if formats:
-                out[f"dated_{c}"] = f"avg(CASE WHEN {q(c)} IS NOT NULL THEN CAST(({to_date(c, kind, formats)}) IS NOT NULL AS INT) END)"
+                seen[f"dated{i}"] = f"CASE WHEN {q(c)} IS NOT NULL THEN CAST(({to_date(c, kind, formats)}) IS NOT NULL AS INT) END"
+                out[f"dated_{c}"] = f"avg(dated{i})"
             else:
-                out |= vote_exprs(c, q(BITS + c))
-            out[f"length_{c}"] = f"avg(length({q(c)}))"
-    return aggregate(df, out)
+                out |= vote_exprs(c, f"{BITS}[{texts.index(c)}]")
+            out[f"length_{c}"] = f"avg(length{i})"
+    return aggregate(df.selectExpr(*[f"{e} AS {n}" for n, e in seen.items()]), out)
 
 
-def _distinct_sketch(name: str, kind: T.DataType) -> str:
+def _is_boolean_word(e: str) -> str:
+    """Whether a text is a boolean word once stripped. One that starts visibly and has a
+    visible character past the longest word is none, which saves stripping it."""
+    after = 1 + max(len(w) for w in fixed.BOOLEAN_WORDS)
+    longer = f"ascii({e}) BETWEEN 33 AND 126 AND ascii(substr({e}, {after}, 1)) BETWEEN 33 AND 126"
+    return f"CASE WHEN {longer} THEN FALSE ELSE lower({strip(e)}) IN {words(fixed.BOOLEAN_WORDS)} END"
+
+
+def _hash(name: str, kind: T.DataType) -> str:
+    """64-bit hash of a value, null where it is null."""
     simple = is_number(kind) or is_text(kind) or is_time(kind)
     hashed = f"xxhash64({q(name)})" if simple else f"xxhash64(to_json(struct({q(name)})))"
-    sketch = f"hll_sketch_agg(CASE WHEN {q(name)} IS NOT NULL THEN {hashed} END, {SKETCH_SIZE})"
-    return f"coalesce(hll_sketch_estimate({sketch}), 0)"
+    return f"CASE WHEN {q(name)} IS NOT NULL THEN {hashed} END"
+
+
+def _sketch(hashed: str) -> str:
+    return f"coalesce(hll_sketch_estimate(hll_sketch_agg({hashed}, {SKETCH_SIZE})), 0)"
 
 
 def infer_roles(df: DataFrame, config: CleanConfig = CleanConfig()) -> Roles:
@@ -240,7 +263,7 @@ def profile(df: DataFrame, roles: Roles, exact: bool = True) -> DataFrame:
     for c in names:
         out[f"nulls_{c}"] = f"count_if({missing(c, kinds[c])})"
         if not exact:
-            out[f"distinct_{c}"] = _distinct_sketch(c, kinds[c])
+            out[f"distinct_{c}"] = _sketch(_hash(c, kinds[c]))
             out[f"sample_{c}"] = f"transform(approx_top_k({text(q(c))}, 4), x -> x.item)"
     for c in numeric:
         number = to_number(c, kinds[c])
