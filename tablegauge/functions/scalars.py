@@ -124,18 +124,28 @@ def strip(e: str) -> str:
 
 
 def title_case(e: str) -> str:
-    """Upper-case every letter that follows a non-letter, lower-case the rest."""
+    """Upper-case every letter that follows a non-letter, lower-case the rest.
+
+    Words of ASCII letters and numbers between blanks take the built-in function, which
+    agrees there; other texts are cut at their non-letters.
+    """
     pieces = f"split(lower({e}), {lit('(?<=[^' + chr(92) + 'p{L}])')})"
     titled = "concat(upper(substr(piece, 1, 1)), substr(piece, 2))"
-    return f"array_join(transform({pieces}, piece -> {titled}), '')"
+    return (f"CASE WHEN {e} RLIKE '[^A-Za-z0-9 ]|[0-9][A-Za-z]' "
+            f"THEN array_join(transform({pieces}, piece -> {titled}), '') ELSE initcap({e}) END")
 
 
-def is_placeholder(e: str, placeholders: Iterable[str]) -> str:
+def is_placeholder(e: str, placeholders: Iterable[str], kind: T.DataType | None = None) -> str:
     """Null, or a placeholder word once trimmed and upper-cased.
 
     Looked up in a constant array: an IN list would be unrolled into the
-    generated code, which then grows past what the JVM compiles.
+    generated code, which then grows past what the JVM compiles. A column of a number
+    ``kind`` is rendered as text only where a placeholder could be one.
     """
+    words_of_numbers = [w for w in placeholders if any(c.isdigit() for c in w) or "INF" in w.upper()]
+    if kind is not None and is_number(kind) and not words_of_numbers:
+        none = f"isnan({e})" if is_float(kind) and "NAN" in placeholders else "FALSE"
+        return f"({e} IS NULL OR {none})"
     listed = f"array{words(placeholders)}"
     return f"({e} IS NULL OR array_contains({listed}, upper({strip(e)})))"
 

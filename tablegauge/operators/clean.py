@@ -26,6 +26,7 @@ NULL_ROWS = "__null_rows"
 CHANGED = "__changed_"
 PARSED = "__date_"
 MOMENTS = "__moments"
+COLLAPSED = "__collapsed"
 
 
 @dataclass(frozen=True)
@@ -177,10 +178,12 @@ def normalise_vendors(df: DataFrame, fill: str) -> DataFrame:
     """Trim, collapse white space, title-case; placeholders become ``fill``."""
     if "vendor_name" not in df.columns:
         return df
-    collapsed = f"regexp_replace({strip('vendor_name')}, {lit(chr(92) + 's+')}, ' ')"
-    return _replace_counting(df, {"vendor_name": title_case(collapsed)}, {
+    # In a column of their own, as the next step reads them several times.
+    df = assign(df, {COLLAPSED: f"regexp_replace({strip('vendor_name')}, {lit(chr(92) + 's+')}, ' ')"})
+    df = _replace_counting(df, {"vendor_name": title_case(COLLAPSED)}, {
         "vendor_name": lambda e: f"lower({e}) IN {words(fixed.PLACEHOLDERS_VENDOR)}"
     }, fill)
+    return assign(df, {}, drop=(COLLAPSED,))
 
 
 def normalise_status(df: DataFrame, accepted: Sequence[str], fill: str) -> DataFrame:

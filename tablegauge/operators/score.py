@@ -56,9 +56,9 @@ def _placeholders(listed: Sequence[str], config: CleanConfig) -> tuple[str, ...]
 
 def invoice_completeness(df: DataFrame, config: CleanConfig = CleanConfig()) -> list[Rule]:
     present = [f for f in fixed.INVOICE_CRITICAL_FIELDS if f in df.columns]
-    listed = _placeholders(fixed.PLACEHOLDERS_INVOICE_SCORE, config)
+    listed, kinds = _placeholders(fixed.PLACEHOLDERS_INVOICE_SCORE, config), types_of(df)
     return [
-        Rule("completeness", is_placeholder(f, listed), 100.0 / len(present),
+        Rule("completeness", is_placeholder(f, listed, kinds[f]), 100.0 / len(present),
              fixed.INVOICE_MISSING_LABEL.format(f))
         for f in present
     ]
@@ -120,9 +120,9 @@ def score_invoices(
 
 def general_completeness(df: DataFrame, roles: Roles, config: CleanConfig = CleanConfig()) -> list[Rule]:
     critical = roles.critical
-    listed = _placeholders(fixed.PLACEHOLDERS_GENERAL, config)
+    listed, kinds = _placeholders(fixed.PLACEHOLDERS_GENERAL, config), types_of(df)
     return [
-        Rule("completeness", is_placeholder(q(c), listed), 100.0 / len(critical))
+        Rule("completeness", is_placeholder(q(c), listed, kinds[c]), 100.0 / len(critical))
         for c in critical if c in df.columns
     ]
 
